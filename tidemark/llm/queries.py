@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lines, packing, toxicity
+from . import decontaminate, jaccard, knn, licenses, lines, packing, passages, toxicity
 from .frames import load
 
 
@@ -19,6 +19,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(load(spark, sf_dir, "embeddings"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(load(spark, sf_dir, "documents"))
 
@@ -35,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op7_jaccard_join, op9_toxicity, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_top_k, op5_license_scan, op6_repeated_passages, op7_jaccard_join, op9_toxicity, op10_line_dedup)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -54,6 +66,22 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FRO
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(items.n, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_license_scan": licenses.oracle(),
+    "op3_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op6_repeated_passages": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, md5(text) AS t, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+s AS (SELECT doc_id, t, k, md5(array_to_string(w[k + 1 : k + 50], ' ')) AS h FROM (SELECT *, unnest(range(len(w) - 49)) AS k FROM w WHERE len(w) >= 50)),
+g AS (SELECT h, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, min((doc_id, k)) AS lead FROM s GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT s.*, n, lo, hi, lead = (s.doc_id, k) AS leads, k - row_number() OVER (PARTITION BY s.doc_id ORDER BY k) AS run FROM s JOIN g USING (h)),
+p AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b, min(lo) AS lo, max(hi) AS hi, max(n) AS n, arg_min(leads, k) AS leads FROM r GROUP BY doc_id, run),
+o AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+m AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM o)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS start_word, CAST(max(b) - min(a) AS BIGINT) AS n_words, min(lo) AS first_doc_id, max(hi) AS last_doc_id, CAST(max(n) AS BIGINT) AS n_places, arg_min(leads, a) AS is_first FROM m GROUP BY doc_id, part""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, p, x FROM (SELECT doc_id, unnest(x) AS x, unnest(range(len(x))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
 b AS (SELECT doc_id, p, trim(x, chr(32) || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS k FROM l WHERE trim(x, chr(32) || chr(9) || chr(13)) <> ''),
