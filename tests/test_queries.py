@@ -1,0 +1,42 @@
+"""Every query of the engine against the SQL that stands for it."""
+
+import os
+
+import pytest
+
+from tests.conftest import load_views, same_rows
+from tidemark import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def views():
+    return load_views(SF)
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, views, name):
+    same_rows(queries.QUERIES[name](spark, SF).toPandas(), views.execute(queries.ORACLES[name]).fetchdf())
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() == 1
+    assert set(queries.QUERIES) <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_conditions_reach_the_scan(spark):
+    plan = queries.q20_key_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pushed = next(x for x in plan.split("\n") if "PushedFilters" in x).split("PushedFilters: ")[1]
+    assert "event_type" in pushed and "user_id" in pushed and "ts" in pushed
+    schema = next(x for x in plan.split("\n") if "ReadSchema" in x).split("ReadSchema: ")[1]
+    assert "props" not in schema and "value" not in schema
+
+
+def test_days_of_a_statement_reach_the_scan(spark):
+    plan = queries.q08_daily_actives(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
