@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -190,9 +190,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2,
     return map_arrow(docs, run, _DDL)
 
 
-def _by_join(docs: DataFrame, items: DataFrame, min_items: int) -> DataFrame:
-    """As decontaminate, with the benchmark's minima joined in a shuffle. Copies of a row are settled once."""
-    docs = docs.withColumns({"k": F.xxhash64("doc_id", "text"), "k2": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+def reject(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 1, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which windows of fewer than min_items items occur."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if 16 * size > max_index_bytes:
+        clean = _by_join(docs.select(F.col("doc_id").cast("long"), "text"), items, min_items, key=True).where("not contaminated").select(F.col("key").alias("_key"), F.col("key2").alias("_key2")).distinct()
+        k, k2 = _keys(F.col("doc_id").cast("long"))
+        return docs.withColumns({"_key": k, "_key2": k2}).join(clean, ["_key", "_key2"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(index([tuple(r) for r in items.collect()]))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in T.chunks(batch.column("text")):
+            w = T.words(c)
+            a, _, item = occurrences(w, shared.value)
+            n = np.zeros(c.high - c.low, np.int64)
+            for r, found in _by_row(np.searchsorted(w.first, a, "right") - 1, item):
+                n[r] = len(found)
+            yield batch.slice(c.low, c.high - c.low).filter(pa.array(n < min_items))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def _keys(doc_id: Column) -> tuple[Column, Column]:
+    return F.xxhash64(doc_id, "text"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _by_join(docs: DataFrame, items: DataFrame, min_items: int, key: bool = False) -> DataFrame:
+    """As decontaminate, with the benchmark's minima joined in a shuffle. Copies of a row are settled once. key: with _keys of each row."""
+    k, k2 = _keys(F.col("doc_id"))
+    docs = docs.withColumns({"k": k, "k2": k2})
     context = "id long, k2 long, n_words long, key long, m int, at long, near binary, before int, after int"
 
     def minima(batch: pa.RecordBatch, short: list[int], own: bool) -> Iterator[pa.RecordBatch]:
@@ -245,6 +272,7 @@ def _by_join(docs: DataFrame, items: DataFrame, min_items: int) -> DataFrame:
                 if items:
                     hits[r] = _covered(np.array([s["a"] for s in found]), np.array([s["b"] for s in found]), int(w.counts[r])).sum()
                     pairs.append((r, items))
-            yield _settled(rows.column("doc_id"), w.counts.astype(np.int64), hits, pairs, min_items)
+            made = _settled(rows.column("doc_id"), w.counts.astype(np.int64), hits, pairs, min_items)
+            yield made.append_column("key", rows.column("k")).append_column("key2", rows.column("k2")) if key else made
 
-    return map_arrow(docs.join(spans, ["k", "k2"], "left"), settle, _DDL)
+    return map_arrow(docs.join(spans, ["k", "k2"], "left"), settle, _DDL + ", key long, key2 long" * key)

@@ -11,7 +11,8 @@ Lines are compared without white space around them. Deleted lines go with their
 blank lines stay. Defined results: a null text stays null; texts of fewer than RUN lines lose
 nothing (unless they repeat inside a longer text, which needs RUN lines too); rows that share a
 doc_id are told apart by their text, and of wholly equal rows the first keeps its lines and all
-later ones lose them; a null doc_id sorts first. Other columns of the input are kept.
+later ones lose them; a null doc_id sorts first. Other columns of the input are kept as they are, but
+for one named n_lines_deleted, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .frames import cut, map_arrow
 
 PAIR, RUN = 2, 3
 WINDOW = RUN - PAIR + 1
+#: Columns that a join needs beside the input's own.
+ROW, REPEATED = "_line_dedup_row", "_line_dedup_repeated"
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The texts without the lines that begin or lie in a run marked as repeated."""
-    gone = batch.column("repeated")
+    gone = batch.column(REPEATED)
     texts = batch.column("text")
     out, counts = [], np.zeros(batch.num_rows, np.int64)
     for c in T.chunks(texts):
@@ -75,9 +78,8 @@ def _without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             kept = data[keep].tobytes().decode()
             out.append(kept[:-1] if kept.endswith("\n") and not data.tobytes().endswith(b"\n") else kept)
             counts[r] = (lines < high).sum()
-    rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("text", "repeated", "row")]
-    names = [n for n in batch.schema.names if n not in ("text", "repeated", "row")]
-    yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(counts)], [*names, "text", "n_lines_deleted"])
+    names = [n for n in batch.schema.names if n not in ("text", REPEATED)]
+    yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.string()), pa.array(counts)], [*names, "text", "n_lines_deleted"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -95,13 +97,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; its other columns come back as they are.
     """
-    own = [c for c in docs.columns if c not in ("n_lines_deleted", "row", "repeated")]
+    own = [c for c in docs.columns if c.lower() != "n_lines_deleted"]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    # equal rows are told apart by where they are read; the number is taken once and kept with the runs
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    twice = keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row")
+    # a row is told by its id and text; where rows are wholly equal, by a number that is taken once and kept
+    keyed = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    twice = keyed.groupBy(ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if twice.limit(1).count():
-        keyed = cut(docs.withColumn("row", F.monotonically_increasing_id()))
-    gone = repeated_runs(keyed.select("row", F.col("doc_id").cast("long"), "text")).groupBy("row").agg(F.collect_list("line").alias("repeated"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return map_arrow(keyed.join(gone, "row", "left"), _without, f"{kinds}{', ' if kinds else ''}text string, n_lines_deleted long").select(*own, "n_lines_deleted")
+        keyed = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    runs = repeated_runs(keyed.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long"), "text"))
+    gone = runs.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("line").alias(REPEATED))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
+    found = map_arrow(keyed.join(gone, ROW, "left").drop(ROW), _without, f"{kinds}text string, n_lines_deleted long")
+    return found.select(*[F.col(f"`{c}`") for c in own], "n_lines_deleted")
