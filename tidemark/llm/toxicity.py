@@ -4,16 +4,17 @@ Strings are words: what lies between white space, where letters set apart one by
 count as one word. The kernel counts common subsequences of ORDER letters, each occurrence
 weighted by DECAY**span, within a span of SPAN places (Lodhi et al. 2002, gaps bounded), so letters
 put between those of an insult, or left out, cost weight and not the match. Letters are folded
-to SYMBOLS classes; other characters only widen gaps.
+to SYMBOLS classes; other characters inside a word are passed over.
 
 With landmarks l the machine is f(w) = sum_j a_j k(w, l_j) / |w|. Because k is an inner product over
 subsequences, the sum folds into one weight for each, a table of SYMBOLS**3 numbers: a text is
 scored letter by letter, at the same cost per letter however many landmarks there are.
 
 Labels are of documents and insults are words, so training is multiple-instance (Andrews et al.
-2003): a document scores as its highest word, each round takes the highest word of every toxic
-document as a positive example and the highest ones of the others as negatives. The first round's
-words come from subsequences' document frequencies. A logistic curve over f and the number of
+2003): a document scores as its highest word, each round takes the highest words of every toxic
+document as positive examples and the highest ones of the others as negatives. The first round's
+words come from subsequences' document frequencies; words that are themselves 20 times as frequent in
+toxic documents are positive in every round. Near copies count once. A logistic curve over f and the number of
 high words turns scores to probabilities.
 
 The fit takes MAX_TRAIN labelled documents of each class at most (those with the least hash of
@@ -27,6 +28,7 @@ are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +42,11 @@ from .frames import map_arrow
 
 ORDER, SPAN, DECAY, SYMBOLS = 3, 6, 0.7, 64
 MAX_TRAIN, LANDMARKS, ROUNDS = 2500, 192, 5
+#: Words of each class in a round's machine; a sample of more.
+MAX_WORDS = 4000
 CHUNK = 1 << 19
 
-_FOLD = np.zeros(256, np.int64)  # 0: nothing but a gap
+_FOLD = np.zeros(256, np.int64)  # 0: no letter
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789", 1):
     _FOLD[_c] = _i
 _FOLD[ord("A") : ord("Z") + 1] = _FOLD[ord("a") : ord("z") + 1]
@@ -73,36 +77,39 @@ def _norms(n: int = 4096) -> np.ndarray:
 _NORM = _norms()
 
 
-def subsequences(letters: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(position, code, weight) for every step pattern: letters i, i+j, i+k of one word, none of them a gap."""
+def letters_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of words data[start:end], side by side, and where each word's begin. What is no letter is left out: it costs nothing."""
+    size = end - start
+    at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+    folded = _FOLD[data[at]]
+    counts = np.concatenate([[0], np.cumsum(folded > 0)])
+    return folded[folded > 0].astype(np.int32), counts[np.concatenate([[0], np.cumsum(size)])]
+
+
+def subsequences(letters: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(position, code, weight) for every step pattern: letters i, i+j, i+k of one word."""
     n = len(letters)
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     for (j, k), w in zip(_STEPS, _WEIGHT, strict=True):
-        if n <= k:
-            continue
-        a, b, c = letters[: n - k], letters[j : n - k + j], letters[k:]
-        ok = np.flatnonzero((word[: n - k] == word[k:]) & (a > 0) & (b > 0) & (c > 0))
-        yield ok, (a[ok] * SYMBOLS + b[ok]) * SYMBOLS + c[ok], float(w)
+        at = np.flatnonzero(left > k)
+        yield at, (letters[at] * SYMBOLS + letters[at + j]) * SYMBOLS + letters[at + k], float(w)
 
 
 def word_scores(chunk: T.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, f) of every word of a chunk. table has 0 where a letter is a gap."""
+    """(row, f) of every word of a chunk."""
     row, start, end = word_spans(chunk)
     if not len(start):
         return row, np.zeros(0, np.float32)
-    letters = _FOLD[chunk.data].astype(np.int32)
+    letters, first = letters_of(chunk.data, start, end)
     n = len(letters)
+    left = (np.repeat(first[1:], np.diff(first)) - np.arange(n)).astype(np.int32)
     gained = np.zeros(n, np.float32)
-    left = np.zeros(n, np.int32)  # places from here to the end of the word, itself included
-    size = end - start
-    inside = np.repeat(end, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size))
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-    left[at] = inside
     pairs = letters * SYMBOLS
     for (j, k), w in zip(_STEPS, _WEIGHT, strict=True):
         if n > k:
             gained[: n - k] += np.where(left[: n - k] > k, table[(pairs[: n - k] + letters[j : n - k + j]) * SYMBOLS + letters[k:]], 0) * w
     total = np.concatenate([[0], np.cumsum(gained, dtype=np.float64)])
-    return row, ((total[end] - total[start]) / _NORM[np.minimum(size, len(_NORM) - 1)]).astype(np.float32)
+    return row, ((total[first[1:]] - total[first[:-1]]) / _NORM[np.minimum(np.diff(first), len(_NORM) - 1)]).astype(np.float32)
 
 
 @dataclass
@@ -127,23 +134,21 @@ class Model:
 
 def _features(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of subsequence weights: (string, code, weight), scaled to length 1."""
-    column = pa.array(strings, pa.binary())
+    ends = np.cumsum([len(x) for x in strings])
+    letters, first = letters_of(np.frombuffer(b"".join(strings), np.uint8), ends - [len(x) for x in strings], ends)
+    word = np.repeat(np.arange(len(strings)), np.diff(first))
     owner, code, value = [], [], []
-    for c in T.chunks(column):
-        letters = _FOLD[c.data]
-        word = np.repeat(np.arange(c.low, c.high), np.diff(c.bounds))
-        for at, k, w in subsequences(letters, word):
-            owner.append(word[at])
-            code.append(k)
-            value.append(np.full(len(at), w))
+    for at, k, w in subsequences(letters, first):
+        owner.append(word[at])
+        code.append(k)
+        value.append(np.full(len(at), w))
     if not owner:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     owner, code, value = (np.concatenate(x) for x in (owner, code, value))
     key, where = np.unique(owner * SYMBOLS**3 + code, return_inverse=True)
     value = np.bincount(where, value)
     owner, code = key // SYMBOLS**3, key % SYMBOLS**3
-    sizes = np.array([len(s) for s in strings])
-    return owner, code, value / _NORM[np.minimum(sizes, len(_NORM) - 1)][owner]
+    return owner, code, value / _NORM[np.minimum(np.diff(first), len(_NORM) - 1)][owner]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 30) -> np.ndarray:
@@ -168,8 +173,12 @@ def _table(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray, fl
     strings = [*positive, *negative]
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     owner, code, value = _features(strings)
-    spread = lambda n, m: np.unique(np.linspace(0, n - 1, min(n, m)).astype(int))
-    chosen = np.concatenate([spread(len(positive), half), len(positive) + spread(len(negative), half)])
+    spread = lambda n, m: np.unique(np.linspace(0, n - 1, min(n, m)).astype(int)) if n else np.zeros(0, int)
+    often = Counter(x.lower() for x in positive)
+    common = {w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[: half // 2]}
+    once = {x.lower(): i for i, x in enumerate(positive)}
+    rest = np.array(sorted(i for x, i in once.items() if x not in common), int)
+    chosen = np.concatenate([sorted(once[x] for x in common), rest[spread(len(rest), half - len(common))], len(positive) + spread(len(negative), half)]).astype(int)
     is_landmark = np.zeros(len(strings), bool)
     is_landmark[chosen] = True
     codes = np.unique(code[is_landmark[owner]])
@@ -200,15 +209,16 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Model:
     empty = Model(np.zeros(SYMBOLS**3, np.float32), np.array([-30.0, 0, 0]))
     if not toxic.any() or toxic.all():
         return empty
+    kept = _unlike(texts, toxic)
+    texts, toxic = [texts[i] for i in kept], toxic[kept]
     column = pa.array(texts, pa.binary())
     pieces = [(c, word_spans(c)) for c in T.chunks(column, CHUNK)]
+    sure = _telling(pieces, toxic)
     counts = np.zeros((2, SYMBOLS**3))
     for c, (row, start, end) in pieces:  # in how many documents of each class a subsequence is
-        word = np.zeros(len(c.data), np.int64) - 1
-        size = end - start
-        word[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)] = np.repeat(np.arange(len(start)), size)
-        letters = np.where(word >= 0, _FOLD[c.data], 0)
-        seen = np.unique(np.concatenate([row[word[at]] * SYMBOLS**3 + code for at, code, _ in subsequences(letters, word)] or [np.zeros(0, np.int64)]))
+        letters, first = letters_of(c.data, start, end)
+        owner = np.repeat(row, np.diff(first))
+        seen = np.unique(np.concatenate([owner[at] * SYMBOLS**3 + code for at, code, _ in subsequences(letters, first)] or [np.zeros(0, np.int64)]))
         np.add.at(counts, (toxic[c.low + seen // SYMBOLS**3].astype(int), seen % SYMBOLS**3), 1)
     odds = np.log((counts[1] + 0.5) / (toxic.sum() + 1)) - np.log((counts[0] + 0.5) / ((~toxic).sum() + 1))
     odds[counts.sum(0) < 2] = 0
@@ -216,27 +226,61 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     for step in range(ROUNDS):
         positive, negative = [], []
-        for c, (row, start, end) in pieces:
+        for (c, (row, start, end)), known in zip(pieces, sure, strict=True):
             _, f = word_scores(c, table)
+            positive += [c.data[start[i] : end[i]].tobytes() for i in known]
             order = np.lexsort((-f, row))
             cuts = np.flatnonzero(np.diff(row[order], prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 own = order[lo:hi]
                 if toxic[c.low + row[own[0]]]:
-                    if not step or f[own[0]] + bias > -1:
-                        positive.append(c.data[start[own[0]] : end[own[0]]].tobytes())
+                    # the highest word, and from the second round all that the machine takes for insults
+                    for i in own[: 1 if not step else max(1, int((f[own] + bias > 0.5).sum()))]:
+                        if not step or f[i] + bias > -1:
+                            positive.append(c.data[start[i] : end[i]].tobytes())
                 else:
                     for i in {own[0], own[min(1, len(own) - 1)], own[rng.integers(len(own))]}:
                         negative.append(c.data[start[i] : end[i]].tobytes())
         positive, negative = sorted(x for x in positive if len(x) < 200), sorted({x for x in negative if len(x) < 200})
-        if len(negative) > 4000:
-            negative = [negative[i] for i in np.sort(rng.choice(len(negative), 4000, replace=False))]
+        positive, negative = (x if len(x) <= MAX_WORDS else [x[i] for i in np.sort(rng.choice(len(x), MAX_WORDS, replace=False))] for x in (positive, negative))
         if not positive or not negative:
             return empty
         table, bias = _table(positive, negative)
     return _calibrated(table, bias, column, toxic)
 
 
+def _unlike(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """One of each group of copies and near copies of a class: a word of theirs isn't telling for being in many of them."""
+    marks = np.concatenate([_marks(c) for c in T.chunks(pa.array(texts, pa.binary()))])
+    return np.sort(np.unique(np.stack([marks, toxic.astype(np.uint64)], 1), axis=0, return_index=True)[1])
+
+
+def _marks(c: T.Chunk) -> np.ndarray:
+    w = T.words(c)
+    out = T.span_hash(T._BYTE[c.data], c.bounds[:-1], c.bounds[1:])
+    grams, whole = T.grams(w.hash, 5), T.whole(w.first, len(w.hash), 5)
+    at = np.flatnonzero(whole[: len(grams)])
+    least = np.full(len(out), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, w.row()[at], grams[at])
+    return np.where(w.counts >= 5, least, out)
+
+
+def _telling(pieces: list, toxic: np.ndarray) -> list[np.ndarray]:
+    """Words of toxic documents that are in at least a hundredth of those, and 20 times as often as in the others."""
+    keys, seen = [], []
+    for c, (row, start, end) in pieces:
+        h = T.span_hash(T._BYTE[T.LOWER[c.data]], start, end)
+        keys.append(h)
+        seen.append(np.unique(np.stack([c.low + row.astype(np.uint64), h], 1).astype(np.uint64), axis=0))
+    pairs = np.concatenate(seen)
+    words, which = np.unique(pairs[:, 1], return_inverse=True)
+    bad = toxic[pairs[:, 0].astype(np.int64)]
+    n_bad, n_good = np.bincount(which, bad, len(words)), np.bincount(which, ~bad, len(words))
+    odds = np.log((n_bad + 0.5) / (toxic.sum() + 1)) - np.log((n_good + 0.5) / ((~toxic).sum() + 1))
+    strong = words[(odds > np.log(20)) & (n_bad >= max(3, toxic.sum() / 100))]
+    return [np.flatnonzero(np.isin(h, strong) & toxic[c.low + row]) for h, (c, (row, _, _)) in zip(keys, pieces, strict=True)]
+
+
 def _calibrated(table: np.ndarray, bias: float, column: pa.Array, toxic: np.ndarray) -> Model:
     model = Model(table, np.zeros(3), bias)
     x = np.concatenate([model.rows(c) for c in T.chunks(column, CHUNK)])
