@@ -27,17 +27,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id stays, and every document without an id."""
-    found = jaccard.jaccard_join(docs)
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near copies the document with the least doc_id stays, and every document without an id.
+
+    Of rows equal in doc_id and text one stays. A doc_id whose rows have different texts stays while one of them does.
+    """
+    found = jaccard.jaccard_join(docs).where("doc_id is not null")
+    seen = cut(found.groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("rows")))
+    kept = docs.join(seen.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if seen.where("stays and rows > 1").limit(1).count() else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), min_items=1)
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a window of any benchmark item go."""
+    return decontaminate.reject(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
