@@ -1,0 +1,78 @@
+"""The stages one after another, against what each must do, on a small corpus with planted cases."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as C
+from tests.llm.test_decontaminate import brute as leaks
+from tests.llm.test_jaccard import brute as classes
+from tests.llm.test_jaccard import edited
+from tests.llm.test_lines import brute as lines
+from tests.llm.test_toxicity import labelled
+
+
+@pytest.fixture(scope="module")
+def folder(spark, make, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("corpus"))
+    rows = [(i, t, y) for i, t, y in labelled(make, 300, seed=4)]
+    header = "\n".join(make(900 + k, 8) for k in range(4))
+    base, item = make(950, 200), make(960, 40)
+    clean = [(1000 + i, f"{header}\n{make(2000 + i, 90)}\n{make(3000 + i, 60)}") for i in range(6)]
+    near = [(1100 + i, base if i < 2 else edited(base, 0.004, i)) for i in range(6)]
+    leak = [(1200 + i, f"{make(4000 + i, 50)} {item} {make(5000 + i, 50)}") for i in range(3)]
+    odd = [(1300, None), (1301, ""), (None, make(1, 20)), (1302, make(970, 9000)), (1303, make(971, 30)), (1303, make(971, 30)), (1304, make(972, 40)), (1304, make(973, 40))]
+    docs = [(i, t, "en", f"s{k}", len(t or ""), k) for k, (i, t) in enumerate([(i, t) for i, t, _ in rows] + clean + near + leak + odd)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, row int").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, make(961, 40)), (3, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def test_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic}
+    seen = docs.collect()
+    for k, (name, f) in enumerate(C.STAGES):
+        out = f(spark, docs, folder)
+        if k < len(C.STAGES) - 1:
+            assert out.schema == docs.schema, name
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        now = docs.collect()
+        if name == "toxicity":
+            gone = {r.doc_id for r in seen} - {r.doc_id for r in now}
+            assert gone <= toxic and len(toxic - gone) <= 0.02 * len(toxic)
+        if name == "line dedup":
+            want = [x for x in lines([(r.doc_id, r.text) for r in sorted(seen, key=lambda r: r.row)])]
+            kept = sorted(str((r.doc_id, r.text)) for r in now)
+            assert len(now) == len(seen) and kept == sorted(str(eval(x)[:2]) for x in want)
+            assert all(r.n_chars is None if r.text is None else r.n_chars == len(r.text) for r in now)
+        if name == "n-gram Jaccard join":
+            own = [eval(x) for x in classes([(r.doc_id, r.text) for r in seen])]
+            assert {r.doc_id for r in now} == {i for i, c, _ in own if i is None or c == i}
+            assert {1100} == {r.doc_id for r in now if r.doc_id and 1100 <= r.doc_id < 1110} and sum(r.doc_id == 1303 for r in now) == 1 and sum(r.doc_id == 1304 for r in now) == 2
+        if name == "benchmark decontamination":
+            want = {x[0] for x in leaks([(r.doc_id, r.text) for r in seen], [(1, spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text)]) if x[2]}
+            assert {1200, 1201, 1202} <= want and {r.doc_id for r in now} == {r.doc_id for r in seen} - want
+        if name == "packing":
+            assert {r.doc_id for r in now} == {r.doc_id for r in seen} and all(r.length > 0 for r in now)
+        seen = now
+    assert sorted(map(tuple, C.run(spark, folder).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect()), key=str) == sorted({(r.doc_id, r.doc_tokens) for r in seen}, key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, f in C.STAGES:
+        assert f(spark, docs, str(tmp_path)).count() == 1
+
+
+def test_entry_lists_all():
+    import __spark_entry__ as e
+
+    names = e.queries()
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert [n for n, _ in C.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
+    assert np.isfinite(len(e.oracle_sql()))

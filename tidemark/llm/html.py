@@ -3,7 +3,7 @@
 A page is read as a tree of block elements and texts; inline tags dissolve. Equal neighbours in a
 row of children fold into a repeated group, also neighbours in groups of up to four. The pages of
 a host are aligned one after another: children that match are merged, those that one side lacks
-become optional, a text that differs becomes a slot, one that never does stays as template text.
+become optional, a text that differs becomes a slot, one that all pages have alike is template text.
 The result is the host's wrapper, a union-free expression over its pages (Crescenzi et al. 2001).
 Wrappers are first inferred inside each partition, so a host with a third of all pages reaches
 the shuffle as one wrapper per partition.
@@ -27,7 +27,7 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +38,9 @@ from .frames import cut, map_arrow, map_partitions
 MAX_WRAPPER_BYTES = 32 << 20
 #: Wrappers that a partition holds before it passes them on.
 HELD_HOSTS = 20_000
-#: Distinct pages of a host after which a text that never changed is template text.
+#: Parts in a row of children beyond which neighbours of one symbol are one part, whatever is in them.
+MAX_PARTS = 64
+#: Distinct pages of a host from which on a text that all pages have alike is template text.
 TEMPLATE_PAGES = 5
 
 _TOKEN = re.compile(
@@ -141,15 +143,14 @@ def wrapper(node: list) -> list:
     return [node[0], None, 0, 0, fold(parts)]
 
 
+def alike(a: list, b: list) -> bool:
+    """Whether neighbours are one repeated part: the same symbol, and children of the same symbols or none."""
+    return a[0] == b[0] and (not a[4] or not b[4] or [x[0] for x in a[4]] == [x[0] for x in b[4]])
+
+
 def fold(parts: list) -> list:
-    """Equal neighbours, and then groups of two to four that come again at once, as one repeated part."""
-    out: list = []
-    for p in parts:
-        if out and out[-1][0] == p[0]:
-            out[-1] = merge(out[-1], p)
-            out[-1][2] = 1
-        else:
-            out.append(p)
+    """Like neighbours, and then groups of two to four that come again at once, as one repeated part."""
+    out = _joined(parts, alike)
     for k in (2, 3, 4):
         i, done = 0, []
         while i < len(out):
@@ -157,7 +158,7 @@ def fold(parts: list) -> list:
             names = [x[0] for x in out[i:j]]
             while j + k <= len(out) and [x[0] for x in out[j : j + k]] == names:
                 j += k
-            if j > i + k:
+            if j > i + k and len(set(names)) > 1:
                 group = out[i : i + k]
                 for s in range(i + k, j, k):
                     group = [merge(a, b) for a, b in zip(group, out[s : s + k], strict=True)]
@@ -167,6 +168,17 @@ def fold(parts: list) -> list:
                 done.append(out[i])
                 i += 1
         out = done
+    return out if len(out) <= MAX_PARTS else _joined(out, lambda a, b: a[0] == b[0])
+
+
+def _joined(parts: list, same: Callable[[list, list], bool]) -> list:
+    out: list = []
+    for p in parts:
+        if out and same(out[-1], p):
+            out[-1] = merge(out[-1], p)
+            out[-1][2] = 1
+        else:
+            out.append(p)
     return out
 
 
@@ -224,19 +236,19 @@ def extract(page: list, expression: list | None, pages: int) -> str:
     focus = expression is not None and has_article(expression) and _has_article(page)
     out: list[str] = []
 
-    def walk(node: list, known: list | None, inside: bool) -> None:
+    def walk(node: list, known: list | None, inside: bool, always: bool) -> None:
         for child, own in zip(node[1], aligned(node[1], known), strict=True):
+            every = always and own is not None and not own[3]  # in all pages of the host
             if isinstance(child, tuple):
-                fixed = own is not None and own[1] != SLOT and pages >= TEMPLATE_PAGES
-                if inside and not fixed:
+                if inside and not (every and own[1] != SLOT):
                     out.append(child[0])
             elif not unwanted(child[0]):
                 name = child[0].partition(".")[0]
                 if not focus and name in ("ul", "ol", "table", "dl") and _links(child):
                     continue
-                walk(child, own, inside or name in ("article", "main"))
+                walk(child, own, inside or name in ("article", "main"), every)
 
-    walk(page, expression, not focus)
+    walk(page, expression, not focus, pages >= TEMPLATE_PAGES)
     return "\n".join(out)
 
 
@@ -260,21 +272,23 @@ def aligned(children: list, known: list | None) -> list:
     """For each child its part of the expression, or None."""
     if known is None:
         return [None] * len(children)
-    names = ["#" if isinstance(c, tuple) else c[0] for c in children]
     flat = [q for p in known[4] for q in (p[4] if p[0].startswith("(") else [p])]
-    runs = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
-    of: list = [None] * len(names)
     by_name: dict[str, list] = {}
     for q in flat:
         by_name.setdefault(q[0], []).append(q)
-    once = all(len(v) == 1 for v in by_name.values())
-    pairs = None if once else dict(matches([names[i] for i in runs], [q[0] for q in flat]))
-    for k, i in enumerate(runs):
-        if once or k not in pairs:
-            part = by_name.get(names[i], [None])[0]
-        else:
-            part = flat[pairs[k]]
-        for j in range(i, runs[k + 1] if k + 1 < len(runs) else len(names)):
+    names = ["#" if isinstance(c, tuple) else c[0] for c in children]
+    if all(len(v) == 1 for v in by_name.values()):
+        return [by_name.get(n, [None])[0] for n in names]
+    # several parts of one symbol: runs of like children are matched with parts in order
+    shapes = [None if isinstance(c, tuple) else wrapper(c) for c in children]
+    heads = [i for i in range(len(names)) if not i or names[i] != names[i - 1] or shapes[i] is not None and not alike(shapes[i - 1], shapes[i])]
+    runs = [names[i] for i in heads]
+    parts = [q[0] for q in flat]
+    pairs = {i: i for i in range(len(runs))} if runs == parts else dict(matches(runs, parts))
+    of: list = [None] * len(names)
+    for k, i in enumerate(heads):
+        part = flat[pairs[k]] if k in pairs else None
+        for j in range(i, heads[k + 1] if k + 1 < len(heads) else len(names)):
             of[j] = part
     return of
 
