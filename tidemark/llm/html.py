@@ -61,7 +61,7 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _NEVER = frozenset("head nav header footer aside form menu dialog button select option label fieldset".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription "
-    "sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist respond reply replies disqus discussion share sharing social related recommended widget login signup search searchbox pagination pager copyright toolbar skip hidden".split()
+    "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist respond reply replies disqus discussion share sharing social related recommended widget login signup search searchbox pagination pager copyright toolbar skip hidden".split()
 )
 SLOT = "*"
 

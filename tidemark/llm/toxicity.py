@@ -18,7 +18,7 @@ toxic documents are positive in every round. Near copies count once. A logistic
 high words turns scores to probabilities.
 
 The fit takes MAX_TRAIN labelled documents of each class at most (those with the least hash of
-doc_id; a documented bound), every document is scored, over its whole text.
+doc_id, and of them those of up to MAX_TRAIN_BYTES; documented bounds), every document is scored, over its whole text.
 
 Defined results: null and empty texts have no word and score as a text of harmless words does;
 with no labelled rows of both classes every score is 0.0; rows without doc_id are scored too;
@@ -42,6 +42,8 @@ from .frames import map_arrow
 
 ORDER, SPAN, DECAY, SYMBOLS = 3, 6, 0.7, 64
 MAX_TRAIN, LANDMARKS, ROUNDS = 2500, 192, 5
+#: Longer texts don't serve as examples, so that the examples fit the driver; they are scored like all others.
+MAX_TRAIN_BYTES = 1 << 15
 #: Words of each class in a round's machine; a sample of more.
 MAX_WORDS = 4000
 CHUNK = 1 << 19
@@ -294,14 +296,14 @@ def _calibrated(table: np.ndarray, bias: float, column: pa.Array, toxic: np.ndar
     return Model(table, w, bias)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[bytes], np.ndarray]:
-    """At most max_train documents of each class, those with the least hash of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most max_train documents of each class, those with the least hash of doc_id; of them, those of at most max_bytes."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(3))
     picked = [marks.where(F.col("toxic") == k).orderBy(order).limit(max_train) for k in (0, 1)]
     ids = {r["doc_id"]: r["toxic"] for p in picked for r in p.collect()}  # 2 * max_train numbers
     chosen = docs.sparkSession.createDataFrame(list(ids.items()) or [], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     return [r["text"].encode() for r in rows], np.array([r["toxic"] > 0 for r in rows], bool)
 
 
