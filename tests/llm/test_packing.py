@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm import packing
 from tidemark.llm import text as T
@@ -23,6 +25,20 @@ def test_same_ids_as_the_tokenizer(reference, make):
         assert [*packing.encoder().encode_ordinary(t), 0] == reference(t)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+def test_same_ids_for_any_text(text):
+    global _fuzzed
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    _fuzzed = _fuzzed or Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert packing.encoder().encode_ordinary(text) == _fuzzed.encode(text, add_special_tokens=False).ids
+
+
+_fuzzed = None
+
+
 def test_round_trip(spark, reference, make):
     texts = {i: make(i, 5 + 37 * i) for i in range(30)} | {30: None, 31: "", 32: make(7, 9000), 33: make(3, 116), 34: "x"}
     rows = [*texts.items(), (33, texts[33]), (None, "no id")]
