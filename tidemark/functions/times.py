@@ -16,14 +16,23 @@ ZONE_HOURS = 8
 _MINUTE_MS = 60_000
 
 
+def bucket_start(ms: Column | str, minutes: int) -> Column:
+    """First millisecond of the bucket: a number, cheaper to group by than its text."""
+    ms = F.col(ms) if isinstance(ms, str) else ms
+    return ms - F.pmod(ms, F.lit(minutes * _MINUTE_MS))
+
+
+def as_text(start: Column | str) -> Column:
+    """Wall clock of the zone at a bucket's first millisecond, as ``yyyy-MM-dd HH:mm``."""
+    start = F.col(start) if isinstance(start, str) else start
+    seconds = F.call_function("div", start, F.lit(1000))  # a quotient by way of doubles would round
+    wall = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(ZONE_HOURS), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.date_format(wall, "yyyy-MM-dd HH:mm")
+
+
 def bucket(ms: Column | str, minutes: int) -> Column:
     """Start of the ``minutes``-long bucket of the zone's wall clock, as ``yyyy-MM-dd HH:mm``."""
-    ms = F.col(ms) if isinstance(ms, str) else ms
-    width = F.lit(minutes * _MINUTE_MS)
-    # integer division: a quotient by way of doubles would round
-    seconds = F.call_function("div", ms - F.pmod(ms, width), F.lit(1000))
-    start = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(ZONE_HOURS), F.lit(0), seconds.cast("decimal(18,6)"))
-    return F.date_format(start, "yyyy-MM-dd HH:mm")
+    return as_text(bucket_start(ms, minutes))
 
 
 def min5(ms: Column | str) -> Column:

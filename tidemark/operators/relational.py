@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import times
+
 #: Join words of the dialect and what they mean; NATURAL takes the columns both sides have.
 JOINS = {"INNER": "inner", "LEFT": "left", "LEFT OUTER": "left", "RIGHT": "right", "RIGHT OUTER": "right", "OUTER": "full", "FULL": "full", "FULL OUTER": "full", "NATURAL": "natural"}
 
@@ -41,6 +43,12 @@ def collapse(df: DataFrame, keys: Mapping[str, Column] | None, aggregates: Mappi
     return df.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(*carried, *named) if keys else df.agg(*carried, *named)
 
 
+def collapse_buckets(df: DataFrame, ms: str, minutes: int, aggregates: Mapping[str, Column]) -> DataFrame:
+    """collapse() by time bucket: rows are grouped by a number, and only the groups get their text, ``segmentvalue``."""
+    groups = collapse(df, {"__start": times.bucket_start(ms, minutes)}, aggregates)
+    return groups.select(times.as_text("__start").alias("segmentvalue"), *aggregates)
+
+
 def distinct_in(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """One row for each value of column in each segment."""
     return df.select(*keys, column).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keys, times
+from .functions import keys
 from .operators import catalogue, predicates, relational
 from .operators.predicates import ValueFilter
 from .operators.scan import EventTable, merged, scan
@@ -95,7 +95,7 @@ _SPAN = "l0 = 'view' AND date >= '20240105' AND date <= '20240107'"
 @query(f"SELECT {_bucket(5)} AS segmentvalue, count(*) AS cnt, count(DISTINCT uid) AS uids FROM deu WHERE {_SPAN} GROUP BY 1", _DEU)
 def q09_five_minutes(spark, sf_dir):
     rows = scan(_events(spark, sf_dir), first="20240105", last="20240107", levels={"l0": "view"})
-    return relational.collapse(rows, {"segmentvalue": times.min5("ts")}, {"cnt": F.count(F.lit(0)), "uids": F.count_distinct("uid")})
+    return relational.collapse_buckets(rows, "ts", 5, {"cnt": F.count(F.lit(0)), "uids": F.count_distinct("uid")})
 
 
 @query(f"SELECT {_bucket(60)} AS segmentvalue, count(*) AS cnt, count(DISTINCT uid) AS uids FROM deu WHERE {_SPAN} GROUP BY 1", _DEU)
@@ -238,4 +238,4 @@ def q29_events_with_property(spark, sf_dir):
 
 @query(f"SELECT {_bucket(5)} AS segmentvalue, count(*) AS cnt FROM deu GROUP BY 1", _DEU)
 def q30_all_buckets(spark, sf_dir):
-    return relational.collapse(scan(_events(spark, sf_dir)), {"segmentvalue": times.min5("ts")}, {"cnt": F.count(F.lit(0))})
+    return relational.collapse_buckets(scan(_events(spark, sf_dir)), "ts", 5, {"cnt": F.count(F.lit(0))})
