@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -59,3 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(n).type) for n, x in ((f.name, columns[f.name]) for f in schema)], schema=schema)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on a long column that both have, so that a hot key's rows can be dealt to several tasks.
+
+    Over the key itself, the partitioning that an aggregation left on the right would be taken as it is, and then
+    adaptive execution doesn't split skewed partitions. So both sides are joined on the key with some bits turned.
+    """
+    turned = F.col(key).bitwiseXOR(F.lit(0x5BD1E995))
+    return left.withColumn("_turned", turned).join(right.withColumn("_turned", turned).drop(key), "_turned", how).drop("_turned")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, split_join
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -20,10 +20,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = split_join(both, least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         # edges now go from a smaller a to a larger b; each b keeps its least a, and links that to its other ones
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        small = split_join(large, least, "b")
         links = small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = cut(links.union(least.select(F.col("m").alias("a"), "b")).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .frames import cut, map_arrow, map_partitions
+from .frames import cut, map_arrow, map_partitions, split_join
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -243,4 +243,4 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     named = nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     by_node = named.join(least, "root").join(links, "node", "left").select("node", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return split_join(rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
