@@ -68,6 +68,12 @@ def test_global_aggregate_distinct_and_union(spark, donuts):
         Runner(spark).run({"query": [{"op": "sort-of"}]})
 
 
+def test_engines_of_a_plan(spark, donuts):
+    folder, _, name = donuts.rpartition("/")
+    text = f'{{storage: [{{type: "classpath", name: "here"}}, {{type: "fs", name: "disk", root: "file:///"}}], query: [{{op: "scan", "@id": 1, ref: "d", storageengine: "here", selection: {{path: "/{name}", type: "JSON"}}}}, {{op: "scan", "@id": 2, ref: "d", storageengine: "disk", selection: {{path: "{donuts}", type: "JSON"}}}}, {{op: "union", inputs: [1, 2]}}]}}'
+    assert Runner(spark, classpath=folder).run(text).count() == 10
+
+
 @pytest.mark.parametrize("kind,n", [("inner", 5), ("left", 6), ("outer", 7)])
 def test_joins_of_records(spark, tmp_path, kind, n):
     (tmp_path / "e.json").write_text("".join(json.dumps({"lastName": a, "deptId": b} if b else {"lastName": a}) for a, b in (("Rafferty", 31), ("Jones", 33), ("Steinberg", 33), ("Robinson", 34), ("Smith", 34), ("John", None))))

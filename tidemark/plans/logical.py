@@ -85,17 +85,21 @@ class Runner:
     """Folds a plan's operators over DataFrames.
 
     read: replaces the lookup of storage engines, (engine, selection) -> DataFrame.
+    classpath: the folder that paths of a ``classpath`` engine are in.
     """
 
-    def __init__(self, spark: SparkSession, read: Callable[[str, Mapping], DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, read: Callable[[str, Mapping], DataFrame] | None = None, classpath: str = "") -> None:
         self.spark = spark
         self.read = read or (lambda engine, selection: readers.read(spark, engine, selection))
+        self.classpath = classpath
+        self.engines: dict[str, Mapping] = {}
         self.stored: list[object] = []
         times.register(spark)
 
     def run(self, plan: str | Mapping) -> DataFrame:
         """The plan's result. What its stores gave is in ``stored``."""
         plan = loads(plan) if isinstance(plan, str) else plan
+        self.engines = {e["name"]: e for e in plan.get("storage", [])}
         named: dict[object, Flow] = {}
         last: Flow | None = None
         for op in plan["query"]:
@@ -119,7 +123,12 @@ class Runner:
         raise ValueError(f"unknown operator {op['op']}")
 
     def do_scan(self, op: Mapping, flow: Flow | None, named: dict) -> Flow:
-        return Flow(flattened(self.read(op["storageengine"], op.get("selection") or {}), op["ref"]), {}, {})
+        engine, selection = op["storageengine"], dict(op.get("selection") or {})
+        given = self.engines.get(engine, {"type": engine})
+        root = given.get("root") or (self.classpath if given["type"] in ("cp", "classpath") else "")
+        if root and "path" in selection:
+            selection["root"] = root
+        return Flow(flattened(self.read(given["type"], selection), op["ref"]), {}, {})
 
     def do_transform(self, op: Mapping, flow: Flow, named: dict) -> Flow:
         df = flow.frame
@@ -174,5 +183,5 @@ class Runner:
         return Flow(relational.union_all(*[named[i].frame for i in op["inputs"]]), {}, {})
 
     def do_store(self, op: Mapping, flow: Flow, named: dict) -> Flow:
-        self.stored.append(readers.write(nested(flow.frame), op["storageengine"], op.get("target")))
+        self.stored.append(readers.write(nested(flow.frame), self.engines.get(op["storageengine"], {}).get("type", op["storageengine"]), op.get("target")))
         return flow
