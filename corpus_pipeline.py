@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, lines, packing, toxicity
-from tidemark.llm.frames import cut, load
+from tidemark.llm.frames import cut, load, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +59,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each writes Parquet to the shared folder and the next one reads that."""
+    """All stages over documents; each writes Parquet to the shared folder and the next one reads that.
+
+    What a stage read is deleted once its own rows are written, so one stage's rows are kept at a time.
+    """
     docs = load(spark, sf_dir, "documents")
     cut(spark.range(1))  # sets a checkpoint folder where there is none
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
