@@ -70,3 +70,9 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """
     turned = F.col(key).bitwiseXOR(F.lit(0x5BD1E995))
     return left.withColumn("_turned", turned).join(right.withColumn("_turned", turned).drop(key), "_turned", how).drop("_turned")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
