@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .frames import cut, map_arrow, map_partitions
+from .frames import cut, map_arrow, map_partitions, split_join
 
 LENGTH, LEAD, GRAM = 50, 25, 8
 #: Texts that share a lead above which it is split over tasks, and hot leads that are sent to all tasks.
@@ -237,7 +237,7 @@ def repeated_passages(docs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame
         found = found.unionByName(_extend_hot(spans.where("hot")))
     whole = texts.where("copies > 1").select("text_hash", F.lit(0).alias("a"), F.col("n_words").alias("b"), F.col("low").alias("first_doc_id"), F.col("high").alias("last_doc_id"), F.col("copies").alias("n"), F.lit(True).alias("leads"))
     merged = map_arrow(found.unionByName(whole).groupBy("text_hash").agg(F.collect_list(F.struct("a", "b", "first_doc_id", "last_doc_id", "n", "leads")).alias("found")), _merge, _SPAN)
-    out = rows.select("doc_id", "text_hash").join(merged, "text_hash").join(texts.select("text_hash", "low"), "text_hash")
+    out = split_join(rows.select("doc_id", "text_hash"), merged.join(texts.select("text_hash", "low"), "text_hash"), "text_hash")
     return out.select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"), "first_doc_id", "last_doc_id", F.col("n").alias("n_places"), (F.col("leads") & (F.col("doc_id") == F.col("low"))).alias("is_first"))
 
 
