@@ -34,7 +34,7 @@ from .frames import cut, find_package, map_arrow, map_partitions
 
 K, SCALE, EVERY = 5, 256, 50
 #: Rows to a block of vectors and of queries; pivots at most; all are bounds on a task, not on the search.
-BLOCK, QUERY_BLOCK, MAX_PIVOTS = 8192, 2048, 512
+BLOCK, QUERY_BLOCK, MAX_PIVOTS = 2048, 2048, 512
 
 
 def usable(vector: str) -> Column:
