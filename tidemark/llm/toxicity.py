@@ -14,11 +14,12 @@ Labels are of documents and insults are words, so training is multiple-instance
 2003): a document scores as its highest word, each round takes the highest words of every toxic
 document as positive examples and the highest ones of the others as negatives. The first round's
 words come from subsequences' document frequencies; words that are themselves 20 times as frequent in
-toxic documents are positive in every round. Near copies count once. A logistic curve over f and the number of
-high words turns scores to probabilities.
+toxic documents are positive in every round. Near copies count once. A logistic curve over the highest
+f, the number of high words and the number of words turns scores to probabilities.
 
 The fit takes MAX_TRAIN labelled documents of each class at most (those with the least hash of
-doc_id, and of them those of up to MAX_TRAIN_BYTES; documented bounds), every document is scored, over its whole text.
+doc_id, and of them those of up to MAX_TRAIN_BYTES; documented bounds). Every document is scored,
+over its whole text.
 
 Defined results: null and empty texts have no word and score as a text of harmless words does;
 with no labelled rows of both classes every score is 0.0; rows without doc_id are scored too;
@@ -44,6 +45,8 @@ ORDER, SPAN, DECAY, SYMBOLS = 3, 6, 0.7, 64
 MAX_TRAIN, LANDMARKS, ROUNDS = 2500, 192, 5
 #: Longer texts don't serve as examples, so that the examples fit the driver; they are scored like all others.
 MAX_TRAIN_BYTES = 1 << 15
+#: f from which a word is one that the machine is sure of, and the number of words from which a text is just long.
+STRONG, MAX_LENGTH = 0.7, 5000
 #: Words of each class in a round's machine; a sample of more.
 MAX_WORDS = 4000
 CHUNK = 1 << 19
@@ -71,9 +74,9 @@ def word_spans(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _norms(n: int = 4096) -> np.ndarray:
-    """Length of the vector of a word of n letters with no subsequence twice."""
+    """Length of the vector of a word of n letters with no subsequence twice; a constant keeps the shortest words from weighing most."""
     sizes = np.arange(n + 1)
-    return np.sqrt(sum(float(w) ** 2 * np.maximum(sizes - k, 0) for (_, k), w in zip(_STEPS, _WEIGHT, strict=True)) + 1e-3)
+    return np.sqrt(sum(float(w) ** 2 * np.maximum(sizes - k, 0) for (_, k), w in zip(_STEPS, _WEIGHT, strict=True)) + 0.1)
 
 
 _NORM = _norms()
@@ -102,7 +105,11 @@ def word_scores(chunk: T.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     row, start, end = word_spans(chunk)
     if not len(start):
         return row, np.zeros(0, np.float32)
-    letters, first = letters_of(chunk.data, start, end)
+    return row, _scored(*letters_of(chunk.data, start, end), table)
+
+
+def _scored(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """f of every word."""
     n = len(letters)
     left = (np.repeat(first[1:], np.diff(first)) - np.arange(n)).astype(np.int32)
     gained = np.zeros(n, np.float32)
@@ -111,24 +118,25 @@ def word_scores(chunk: T.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if n > k:
             gained[: n - k] += np.where(left[: n - k] > k, table[(pairs[: n - k] + letters[j : n - k + j]) * SYMBOLS + letters[k:]], 0) * w
     total = np.concatenate([[0], np.cumsum(gained, dtype=np.float64)])
-    return row, ((total[first[1:]] - total[first[:-1]]) / _NORM[np.minimum(np.diff(first), len(_NORM) - 1)]).astype(np.float32)
+    return ((total[first[1:]] - total[first[:-1]]) / _NORM[np.minimum(np.diff(first), len(_NORM) - 1)]).astype(np.float32)
 
 
 @dataclass
 class Model:
     table: np.ndarray
-    curve: np.ndarray  # weights of (1, highest f, log(1 + words with f above 0))
+    curve: np.ndarray  # weights of what rows() gives
     bias: float = 0.0
 
     def rows(self, chunk: T.Chunk) -> np.ndarray:
-        """The two features of every row."""
+        """Of every row: 1, the highest f, and on a log scale how many words have f above 0, above STRONG, and at all."""
         row, f = word_scores(chunk, self.table)
         f = f + self.bias
         n = chunk.high - chunk.low
-        best, many = np.full(n, -2.0), np.zeros(n)
-        np.maximum.at(best, row, np.clip(f, -2, 2))
-        np.add.at(many, row, f > 0)
-        return np.stack([np.ones(n), best, np.log1p(many)], 1)
+        best = np.full(n, -2.0)
+        np.maximum.at(best, row, np.clip(f, -2, 1.2))
+        count = lambda which: np.log1p(np.bincount(row[which], minlength=n))
+        words = np.minimum(np.bincount(row, minlength=n), MAX_LENGTH)
+        return np.stack([np.ones(n), best, count(f > 0), count(f > STRONG), np.log1p(words)], 1)
 
     def scores(self, chunk: T.Chunk) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.rows(chunk) @ self.curve, -30, 30)))
@@ -208,49 +216,75 @@ def _table(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray, fl
 def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Model:
     """The model of labelled documents."""
     toxic = np.asarray(toxic, bool)
-    empty = Model(np.zeros(SYMBOLS**3, np.float32), np.array([-30.0, 0, 0]))
+    empty = Model(np.zeros(SYMBOLS**3, np.float32), np.array([-30.0, 0, 0, 0, 0]))
     if not toxic.any() or toxic.all():
         return empty
     kept = _unlike(texts, toxic)
     texts, toxic = [texts[i] for i in kept], toxic[kept]
     column = pa.array(texts, pa.binary())
-    pieces = [(c, word_spans(c)) for c in T.chunks(column, CHUNK)]
-    sure = _telling(pieces, toxic)
-    counts = np.zeros((2, SYMBOLS**3))
-    for c, (row, start, end) in pieces:  # in how many documents of each class a subsequence is
-        letters, first = letters_of(c.data, start, end)
-        owner = np.repeat(row, np.diff(first))
-        seen = np.unique(np.concatenate([owner[at] * SYMBOLS**3 + code for at, code, _ in subsequences(letters, first)] or [np.zeros(0, np.int64)]))
-        np.add.at(counts, (toxic[c.low + seen // SYMBOLS**3].astype(int), seen % SYMBOLS**3), 1)
-    odds = np.log((counts[1] + 0.5) / (toxic.sum() + 1)) - np.log((counts[0] + 0.5) / ((~toxic).sum() + 1))
-    odds[counts.sum(0) < 2] = 0
-    table, bias = np.maximum(odds, 0).astype(np.float32), 0.0
+    row, word, strings = _vocabulary(column)
+    bad = toxic[row]
+    seen = np.stack([np.bincount(word, ~bad, len(strings)), np.bincount(word, bad, len(strings))])  # in how many documents of each class a word is
+    ends = np.cumsum([len(x) for x in strings])
+    letters, first = letters_of(np.frombuffer(b"".join(strings), np.uint8), ends - [len(x) for x in strings], ends)
+    table, bias = _odds(letters, first, seen, toxic), 0.0
+    # words that are in at least a hundredth of the toxic documents, and 20 times as often as in the others
+    share = (seen[1] + 0.5) / (toxic.sum() + 1) / ((seen[0] + 0.5) / ((~toxic).sum() + 1))
+    telling = np.flatnonzero((share > 20) & (seen[1] >= max(3, toxic.sum() / 100)))
+    sure = word[bad & np.isin(word, telling)]
+    usable = np.array([0 < len(x) < 200 for x in strings], bool)
     rng = np.random.default_rng(seed)
     for step in range(ROUNDS):
-        positive, negative = [], []
-        for (c, (row, start, end)), known in zip(pieces, sure, strict=True):
-            _, f = word_scores(c, table)
-            positive += [c.data[start[i] : end[i]].tobytes() for i in known]
-            order = np.lexsort((-f, row))
-            cuts = np.flatnonzero(np.diff(row[order], prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[lo:hi]
-                if toxic[c.low + row[own[0]]]:
-                    # the highest word, and from the second round all that the machine takes for insults
-                    for i in own[: 1 if not step else max(1, int((f[own] + bias > 0.5).sum()))]:
-                        if not step or f[i] + bias > -1:
-                            positive.append(c.data[start[i] : end[i]].tobytes())
-                else:
-                    for i in {own[0], own[min(1, len(own) - 1)], own[rng.integers(len(own))]}:
-                        negative.append(c.data[start[i] : end[i]].tobytes())
-        positive, negative = sorted(x for x in positive if len(x) < 200), sorted({x for x in negative if len(x) < 200})
-        positive, negative = (x if len(x) <= MAX_WORDS else [x[i] for i in np.sort(rng.choice(len(x), MAX_WORDS, replace=False))] for x in (positive, negative))
-        if not positive or not negative:
+        f = _scored(letters, first, table) + bias
+        order = np.lexsort((word, -f[word], row))
+        row, word, bad = row[order], word[order], bad[order]
+        place = np.arange(len(row)) - np.repeat(*_heads(row))
+        # the highest word of each toxic document, and from the second round all that the machine takes for insults
+        high = bad & (((place == 0) & ((f[word] > -1) | (step == 0))) | ((f[word] > 0.5) & (step > 0)))
+        low = ~bad & ((place < 2) | (rng.random(len(row)) < 0.01))
+        positive, negative = np.sort(np.concatenate([sure, word[high]])), np.unique(word[low])
+        positive, negative = (x[usable[x]] for x in (positive, negative))
+        positive, negative = (x if len(x) <= MAX_WORDS else x[np.sort(rng.choice(len(x), MAX_WORDS, replace=False))] for x in (positive, negative))
+        if not len(positive) or not len(negative):
             return empty
-        table, bias = _table(positive, negative)
+        table, bias = _table([strings[i] for i in positive], [strings[i] for i in negative])
     return _calibrated(table, bias, column, toxic)
 
 
+def _heads(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers begins, and its length."""
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    return at, np.diff(np.append(at, len(row)))
+
+
+def _vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The distinct (row, word) pairs, and the words, lower-cased."""
+    rows, hashes, where = [], [], []
+    pieces = list(T.chunks(column, CHUNK))
+    for k, c in enumerate(pieces):
+        row, start, end = word_spans(c)
+        rows.append(row + c.low)
+        hashes.append(T.span_hash(T._BYTE[T.LOWER[c.data]], start, end))
+        where.append(np.stack([np.full(len(row), k), start, end], 1))
+    row, h, at = np.concatenate(rows), np.concatenate(hashes), np.concatenate(where)
+    _, one, word = np.unique(h, return_index=True, return_inverse=True)
+    strings = [T.LOWER[pieces[k].data[a:b]].tobytes() for k, a, b in at[one]]
+    pairs = np.unique(row.astype(np.int64) * len(strings) + word)
+    return pairs // max(1, len(strings)), pairs % max(1, len(strings)), strings
+
+
+def _odds(letters: np.ndarray, first: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For a start, each subsequence weighs how much more often words of toxic documents have it, if they do."""
+    counts = np.zeros((2, SYMBOLS**3))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for at, code, _ in subsequences(letters, first):
+        for k in (0, 1):
+            counts[k] += np.bincount(code, seen[k][owner[at]], SYMBOLS**3)
+    odds = np.log((counts[1] + 0.5) / (toxic.sum() + 1)) - np.log((counts[0] + 0.5) / ((~toxic).sum() + 1))
+    odds[counts.sum(0) < 2] = 0
+    return np.maximum(odds, 0).astype(np.float32)
+
+
 def _unlike(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
     """One of each group of copies and near copies of a class: a word of theirs isn't telling for being in many of them."""
     marks = np.concatenate([_marks(c) for c in T.chunks(pa.array(texts, pa.binary()))])
@@ -267,29 +301,13 @@ def _marks(c: T.Chunk) -> np.ndarray:
     return np.where(w.counts >= 5, least, out)
 
 
-def _telling(pieces: list, toxic: np.ndarray) -> list[np.ndarray]:
-    """Words of toxic documents that are in at least a hundredth of those, and 20 times as often as in the others."""
-    keys, seen = [], []
-    for c, (row, start, end) in pieces:
-        h = T.span_hash(T._BYTE[T.LOWER[c.data]], start, end)
-        keys.append(h)
-        seen.append(np.unique(np.stack([c.low + row.astype(np.uint64), h], 1).astype(np.uint64), axis=0))
-    pairs = np.concatenate(seen)
-    words, which = np.unique(pairs[:, 1], return_inverse=True)
-    bad = toxic[pairs[:, 0].astype(np.int64)]
-    n_bad, n_good = np.bincount(which, bad, len(words)), np.bincount(which, ~bad, len(words))
-    odds = np.log((n_bad + 0.5) / (toxic.sum() + 1)) - np.log((n_good + 0.5) / ((~toxic).sum() + 1))
-    strong = words[(odds > np.log(20)) & (n_bad >= max(3, toxic.sum() / 100))]
-    return [np.flatnonzero(np.isin(h, strong) & toxic[c.low + row]) for h, (c, (row, _, _)) in zip(keys, pieces, strict=True)]
-
-
 def _calibrated(table: np.ndarray, bias: float, column: pa.Array, toxic: np.ndarray) -> Model:
-    model = Model(table, np.zeros(3), bias)
+    model = Model(table, np.zeros(5), bias)
     x = np.concatenate([model.rows(c) for c in T.chunks(column, CHUNK)])
-    y, w = toxic.astype(float), np.array([0.0, 2.0, 0.0])
-    for _ in range(50):
+    y, w = toxic.astype(float), np.zeros(5)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(5), x.T @ (y - p) - 1e-2 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
