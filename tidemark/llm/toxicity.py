@@ -259,18 +259,19 @@ def _heads(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The distinct (row, word) pairs, and the words, lower-cased."""
-    rows, hashes, where = [], [], []
-    pieces = list(T.chunks(column, CHUNK))
-    for k, c in enumerate(pieces):
+    rows, hashes, known = [], [], {}
+    for c in T.chunks(column, CHUNK):
         row, start, end = word_spans(c)
-        rows.append(row + c.low)
-        hashes.append(T.span_hash(T._BYTE[T.LOWER[c.data]], start, end))
-        where.append(np.stack([np.full(len(row), k), start, end], 1))
-    row, h, at = np.concatenate(rows), np.concatenate(hashes), np.concatenate(where)
-    _, one, word = np.unique(h, return_index=True, return_inverse=True)
-    strings = [T.LOWER[pieces[k].data[a:b]].tobytes() for k, a, b in at[one]]
-    pairs = np.unique(row.astype(np.int64) * len(strings) + word)
-    return pairs // max(1, len(strings)), pairs % max(1, len(strings)), strings
+        h = T.span_hash(T._BYTE[T.LOWER[c.data]], start, end)
+        order = np.lexsort((h, row))
+        order = order[np.concatenate([[True], (np.diff(row[order]) != 0) | (h[order][1:] != h[order][:-1])])] if len(order) else order
+        rows.append((row[order] + c.low).astype(np.int32))
+        hashes.append(h[order])
+        for x, i in zip(*(y.tolist() for y in np.unique(h, return_index=True)), strict=True):
+            if x not in known:
+                known[x] = T.LOWER[c.data[start[i] : end[i]]].tobytes()
+    words = np.array(sorted(known), np.uint64)
+    return np.concatenate(rows), np.searchsorted(words, np.concatenate(hashes)).astype(np.int32), [known[x] for x in words.tolist()]
 
 
 def _odds(letters: np.ndarray, first: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -287,7 +288,7 @@ def _odds(letters: np.ndarray, first: np.ndarray, seen: np.ndarray, toxic: np.nd
 
 def _unlike(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
     """One of each group of copies and near copies of a class: a word of theirs isn't telling for being in many of them."""
-    marks = np.concatenate([_marks(c) for c in T.chunks(pa.array(texts, pa.binary()))])
+    marks = np.concatenate([_marks(c) for c in T.chunks(pa.array(texts, pa.binary()), CHUNK // 2)])
     return np.sort(np.unique(np.stack([marks, toxic.astype(np.uint64)], 1), axis=0, return_index=True)[1])
 
 
