@@ -2,7 +2,7 @@
 
 DataFrame and ML functions only. Features: lengths of url, host and path, their depths, ratio of
 digits, entropy of the characters, number of parameters, hyphens, longest label of the host, and
-statistics of the host's last label (how often it is seen labelled, and how often as blocked).
+statistics of the host's last label (its share of all urls, and how often it is labelled as blocked).
 Both classes weigh alike in training. The trees learn from labelled urls; by default those are the table's own urls that a rule fits,
 MAX_TRAIN at most (those with the least hash, a documented bound). Suffix statistics count all
 labelled rows.
@@ -27,7 +27,7 @@ from .frames import cut
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 MAX_TRAIN, TREES, DEPTH = 10_000, 20, 3
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#=&%+"
-FEATURES = ["n_url", "n_host", "n_path", "host_depth", "path_depth", "digits", "entropy", "params", "hyphens", "longest_label", "suffix_seen", "suffix_blocked"]
+FEATURES = ["n_url", "n_host", "n_path", "host_depth", "path_depth", "digits", "entropy", "params", "hyphens", "longest_label", "suffix_share", "suffix_blocked"]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -86,14 +86,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
     rows = featured(pages.select(F.col("page_id").cast("long"), "url")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     known = featured(labelled.select("url", "verdict")) if labelled is not None else rows.where("rule is not null").withColumn("verdict", given[F.col("rule")])
     known = known.withColumn("label", (F.col("verdict") == "block").cast("double")).where("label is not null")
-    suffixes = cut(known.groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("suffix_seen"), ((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1)).alias("suffix_blocked")))
+    shares = rows.groupBy("suffix").agg((F.count(F.lit(1)) / F.lit(max(1, rows.count()))).alias("suffix_share"))
+    told = known.groupBy("suffix").agg(((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1)).alias("suffix_blocked"))
+    suffixes = cut(shares.join(told, "suffix", "full"))
     order = F.xxhash64("url", "label")
-    train = known.orderBy(order, "url").limit(max_train).join(suffixes, "suffix", "left")
+    unknown = {"suffix_share": 0.0, "suffix_blocked": 0.5}
+    train = known.orderBy(order, "url").limit(max_train).join(suffixes, "suffix", "left").na.fill(unknown)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = cut(assembler.transform(train).select("features", "label"))
     classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / classes.get(1.0, 1)).otherwise(0.5 / classes.get(0.0, 1)) * sum(classes.values()))
-    rows = rows.join(suffixes, "suffix", "left").na.fill({"suffix_seen": 0.0, "suffix_blocked": 0.5})
+    rows = rows.join(suffixes, "suffix", "left").na.fill(unknown)
     if len(classes) == 2:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=11).fit(train)
         rows = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
