@@ -229,7 +229,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     nodes = cut(nodes)
     roots = cut(components(candidates(nodes.select("node", "labels"), threshold)))
     group = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = roots.join(group, "root").join(nodes.select("node", "least", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = split_join(roots, group, "root").join(nodes.select("node", "least", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     texts = docs.join(placed.select(F.col("least").alias("doc_id"), "node"), "doc_id")
     sets = map_arrow(texts, _sets, "node long, shingles binary").dropDuplicates(["node"])
     full = placed.join(sets, "node")
@@ -242,5 +242,5 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     classes = components(found.where("a is not null").select("a", "b"))
     named = nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_node = named.join(least, "root").join(links, "node", "left").select("node", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_node = split_join(named, least, "root").join(links, "node", "left").select("node", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return split_join(rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
