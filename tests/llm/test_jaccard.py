@@ -40,7 +40,9 @@ def edited(text, share, seed):
     return " ".join(f"new{r.randrange(999)}" if r.random() < share else w for w in text.split())
 
 
-def test_against_brute_force(spark, make):
+@pytest.mark.parametrize("local", [graph.LOCAL_EDGES, -1])
+def test_against_brute_force(spark, make, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     rows = []
     for k in range(25):
         base = make(k, 60 + 20 * k)
@@ -77,8 +79,9 @@ def test_depth():
     assert 1 - (1 - 0.8 ** J.match_depth(0.8)) ** J.TREES >= J.RECALL
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("local", [None, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed, local):
     r = random.Random(seed)
     edges = [(r.randrange(-50, 200), r.randrange(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(3, 3)]
     root = {}
@@ -93,6 +96,6 @@ def test_components(spark, seed):
         if a != b:
             a, b = sorted((find(a), find(b)))
             root[b] = a
-    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long"), local_edges=local).collect()}
     assert got == {x: find(x) for x in root}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), local_edges=local).count() == 0
