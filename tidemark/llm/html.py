@@ -53,7 +53,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("html head body nav header footer aside main article section div form ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption fieldset address details summary menu dialog button select option label hgroup center".split())
 _OWN_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCKS - {"button", "label", "option", "select"}
@@ -128,8 +127,7 @@ def tree(page: str) -> list:
             flush()
             node: list = [symbol(name, m["attrs"]), []]
             stack[-1][1].append(node)
-            if not (name in _VOID or m["attrs"].endswith("/") and name in _VOID):
-                stack.append(node)
+            stack.append(node)
     flush()
     return root
 
