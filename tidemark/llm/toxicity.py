@@ -14,7 +14,8 @@ Labels are of documents and insults are words, so training is multiple-instance
 2003): a document scores as its highest word, each round takes the highest words of every toxic
 document as positive examples and the highest ones of the others as negatives. The first round's
 words come from subsequences' document frequencies; words that are themselves 20 times as frequent in
-toxic documents are positive in every round. Near copies count once. A logistic curve over the highest
+toxic documents are positive in every round; each positive word is joined by an altered form of it, with
+a letter or two put in or one left out. Near copies count once. A logistic curve over the highest
 f, the number of high words and the number of words turns scores to probabilities.
 
 The fit takes MAX_TRAIN labelled documents of each class at most (those with the least hash of
@@ -250,10 +251,22 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Model:
         positive, negative = (x if len(x) <= MAX_WORDS else x[np.sort(rng.choice(len(x), MAX_WORDS, replace=False))] for x in (positive, negative))
         if not len(positive) or not len(negative):
             return empty
-        table, bias = _table([strings[i] for i in positive], [strings[i] for i in negative])
+        found = [strings[i] for i in positive]
+        table, bias = _table(found + [_altered(x, rng) for x in found], [strings[i] for i in negative])
     return _calibrated(table, bias, column, toxic)
 
 
+def _altered(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word as those write it who hide it: a letter or two put in, or one left out."""
+    kind, out = rng.integers(4), bytearray(word)
+    for _ in range(1 + (kind == 2)):
+        out.insert(int(rng.integers(1, len(out) + 1)), int(rng.integers(97, 123)))
+    if kind == 3 and len(word) > 4:
+        out = bytearray(word)
+        del out[int(rng.integers(1, len(out)))]
+    return bytes(out)
+
+
 def _heads(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal numbers begins, and its length."""
     at = np.flatnonzero(np.diff(row, prepend=-1))
