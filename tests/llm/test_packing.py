@@ -66,6 +66,34 @@ def test_round_trip(spark, reference, make):
     assert padding == 0
 
 
+END = "<|endoftext|>"
+ENDS = [END, f"{END} b", f"a {END} b", f"a {END}", f"{END}{END}", f"a{END}  {END}b \n", f"x <|endoftext|{END} <|ENDOFTEXT|>", f"it's  {END}\n\n 12 {END}é"]
+
+
+@pytest.mark.parametrize("text", ENDS)
+def test_added_token_in_text(reference, text):
+    assert [*packing.encoder().encode(text, allowed_special="all"), 0] == reference(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.just(END), st.text(st.characters(exclude_categories=["Cs"]), max_size=9)), max_size=7).map("".join))
+def test_added_token_in_any_text(text):
+    global _fuzzed
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    _fuzzed = _fuzzed or Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert packing.encoder().encode(text, allowed_special="all") == _fuzzed.encode(text, add_special_tokens=False).ids
+
+
+def test_packs_added_tokens(spark, reference):
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(ENDS)), "doc_id long, text string"), length=1 << 20).groupBy("doc_id", "doc_tokens").count().collect()}
+    assert {i: got[i].doc_tokens for i in got} == {i: len(reference(t)) for i, t in enumerate(ENDS)}
+    one = packing.pack(spark.createDataFrame([(1, f"a {END} b")], "doc_id long, text string")).collect()
+    ids = np.array(reference(f"a {END} b"), "<u4")
+    assert sum(r.length for r in one) == len(ids) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in one)
+
+
 def test_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

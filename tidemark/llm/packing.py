@@ -9,6 +9,7 @@ a range is cut at powers of two, which need no padding.
 
 Ids are those of byte_bpe_50k.json, computed by tiktoken over the same vocabulary's ranks (the
 tests hold both against each other), followed by ``end_id``. They are kept as 16-bit numbers.
+The json's added tokens are found inside text too, as it finds them itself.
 
 Defined results: a null text is an empty one and gives just the end id; a null doc_id gives
 pieces with a null doc_id; equal rows are packed as often as they come; other columns are ignored.
@@ -17,9 +18,12 @@ pieces with a null doc_id; equal rows are packed as often as they come; other co
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a vocabulary's json adds to its ranks; they are matched in text as they stand."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]
+    for t in found:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"{path}: the added token {t['content']!r} takes more or less than itself, which isn't supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 def encoder(path: str | None = None):
     """The encoder of one Python process; a path of None is the installed vocabulary."""
     key = path or ""
@@ -51,7 +64,9 @@ def encoder(path: str | None = None):
 
         with open(path or vocabulary_path(), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[key] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = Path(path).with_suffix(".json") if path else Path(vocabulary_path("byte_bpe_50k.json"))
+        special = added_tokens(str(added)) if not path or added.exists() else {}
+        _encoders[key] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
 
 
@@ -102,7 +117,7 @@ def hilbert(cell: np.ndarray) -> np.ndarray:
 
 def _encode(path: str | None, end_id: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         for c in T.chunks(batch.column("text")):
             texts = batch.column("text").slice(c.low, c.high - c.low).to_pylist()
             ids = [np.array([*encode(t), end_id] if t else [end_id], "<u2").tobytes() for t in texts]
@@ -170,7 +185,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabul
     """Pieces of the documents and their places in sequences of at most ``length`` ids.
 
     docs needs doc_id and text. vocabulary: path of a .tiktoken file that each machine has, with
-    fewer than 65,536 ids; None for the installed one.
+    fewer than 65,536 ids; None for the installed one. Added tokens are read from the .json beside it.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = cut(map_arrow(docs, _encode(vocabulary, end_id), "doc_id long, key long, ids binary"))
