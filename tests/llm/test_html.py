@@ -54,6 +54,14 @@ def test_lists_of_links_go_where_there_is_no_article(spark):
     assert texts(spark, rows)[3] == "Text 3 with a link in it.\nA point 3"
 
 
+def test_text_of_a_group_that_one_page_has_stays(spark):
+    group = "<h2>Note</h2><p>First.</p><h2>Note</h2><p>Second.</p>"
+    rows = [(i, "http://g.org/x", f"<body><article>{group if i == 0 else f'<p>Story {i}.</p><p>More of {i}.</p>'}</article></body>") for i in range(6)]
+    assert texts(spark, rows) == {0: "Note\nFirst.\nNote\nSecond."} | {i: f"Story {i}.\nMore of {i}." for i in range(1, 6)}
+    rows = [(i, "http://g.org/x", f"<body><article><dl><dt>Label</dt><dd>a {i}</dd><dt>Label</dt><dd>b {i}</dd></dl></article></body>") for i in range(6)]
+    assert texts(spark, rows)[3] == "a 3\nb 3"  # a group that all pages have is template
+
+
 def test_repeats_and_options():
     one = H.wrapper(H.tree("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>"))
     assert one[4][0][4][0][0] == "(h2 p)" and one[4][0][4][0][2] == 1

@@ -270,7 +270,8 @@ def aligned(children: list, known: list | None) -> list:
     """For each child its part of the expression, or None."""
     if known is None:
         return [None] * len(children)
-    flat = [q for p in known[4] for q in (p[4] if p[0].startswith("(") else [p])]
+    # what is in an optional group is optional itself
+    flat = [q for p in known[4] for q in ([[*q[:3], q[3] | p[3], q[4]] for q in p[4]] if p[0].startswith("(") else [p])]
     by_name: dict[str, list] = {}
     for q in flat:
         by_name.setdefault(q[0], []).append(q)
