@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemark.llm import html as H
@@ -62,6 +64,24 @@ def test_text_of_a_group_that_one_page_has_stays(spark):
     assert texts(spark, rows)[3] == "a 3\nb 3"  # a group that all pages have is template
 
 
+def test_only_the_template_text_itself_goes():
+    one = H.wrapper(H.tree("<article><h1>Welcome</h1><p>x</p></article>"))
+    assert H.extract(H.tree("<article><h1>Welcome</h1><p>x</p></article>"), one, 6) == ""
+    assert H.extract(H.tree("<article><h1>Another</h1><p>x</p></article>"), one, 6) == "Another"
+
+
+def test_long_rows_match_as_far_as_they_can():
+    names = [f"n{i % 50}" for i in range(700)]
+    assert H.matches(["z", *names], [*names, "z"]) == [(i + 1, i) for i in range(700)]
+    r = random.Random(5)
+    for k in range(300):
+        a, b = ([r.choice("abcde"[: 2 + k % 4]) for _ in range(r.randrange(30))] for _ in "ab")
+        want = len(H.matches(a, b))
+        for held in (1 << 28, 40, 1):
+            got = H._matches_in_bits(a, b, held)
+            assert len(got) == want and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
 def test_repeats_and_options():
     one = H.wrapper(H.tree("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>"))
     assert one[4][0][4][0][0] == "(h2 p)" and one[4][0][4][0][2] == 1

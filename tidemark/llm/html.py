@@ -29,6 +29,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,15 +186,50 @@ def merge(a: list, b: list) -> list:
     return [a[0], text, a[2] | b[2], a[3] | b[3], align(a[4], b[4])]
 
 
+def _columns(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each start of b, in bits: bit i is 0 where a[i] makes the longest common subsequence longer (Hyyro 2004)."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    column = mask = (1 << len(a)) - 1
+    for x in b:
+        hit = column & where.get(x, 0)
+        column = (column + hit | column - hit) & mask
+        yield column
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of b and each start of a."""
+    column = (1 << len(a)) - 1
+    for column in _columns(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(column.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _matches_in_bits(a: list[str], b: list[str], held: int = 1 << 28) -> list[tuple[int, int]]:
+    """A longest common subsequence with at most ``held`` bits kept; beyond that b is halved first (Hirschberg 1975)."""
+    if len(a) * len(b) > held and len(b) > 1:
+        half = len(b) // 2
+        k = int(np.argmax(_lengths(a, b[:half]) + _lengths(a[::-1], b[:half - 1 : -1])[::-1]))
+        return [*_matches_in_bits(a[:k], b[:half], held), *((i + k, j + half) for i, j in _matches_in_bits(a[k:], b[half:], held))]
+    columns = list(_columns(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if columns[j - 1] >> i - 1 & 1:
+            i -= 1
+        else:
+            j -= 1
+            if not j or columns[j - 1] >> i - 1 & 1:
+                i -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence; for very long rows, the first in order of b."""
+    """A longest common subsequence."""
     if len(a) * len(b) > 250_000:
-        out, j = [], 0
-        for i, x in enumerate(a):
-            if x in b[j:]:
-                j = b.index(x, j) + 1
-                out.append((i, j - 1))
-        return out
+        return _matches_in_bits(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -238,7 +274,7 @@ def extract(page: list, expression: list | None, pages: int) -> str:
         for child, own in zip(node[1], aligned(node[1], known), strict=True):
             every = always and own is not None and not own[3]  # in all pages of the host
             if isinstance(child, tuple):
-                if inside and not (every and own[1] != SLOT):
+                if inside and not (every and own[1] == zlib.crc32(child[0].encode())):
                     out.append(child[0])
             elif not unwanted(child[0]):
                 name = child[0].partition(".")[0]
