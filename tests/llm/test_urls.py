@@ -45,6 +45,25 @@ def test_one_class_and_no_rows(spark):
     assert U.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["hot", "rare"])
+def test_learns_both_classes_of_skewed_labels(spark, case):
+    from pyspark.sql import functions as F
+
+    good = [f"https://shop{i % 7}.example.org/item/{i}" for i in range(200)]
+    bad = [f"http://free-bets-4u-{i}.example.org/?id={i * 7919}&s=1&t=99&click=1" for i in range(200)]
+    told = spark.createDataFrame([*((u, 0.0) for u in good), *((u, 1.0) for u in bad)], "url string, label double")
+    by_hash = [(r.url, r.label) for r in told.orderBy(F.xxhash64("url", "label")).collect()]
+    allow, block = ([u for u, y in by_hash if y == k] for k in (0.0, 1.0))
+    if case == "hot":  # copies of one url fill the rows of least hash
+        rows = [*allow[:100], *allow[:1] * 100], [u for u in block if by_hash.index((u, 1.0)) > by_hash.index((allow[0], 0.0))][:100]
+    else:  # the three of greatest hash
+        rows = allow[:100], block[-3:]
+    labelled = spark.createDataFrame([*((u, "allow") for u in rows[0]), *((u, "block") for u in rows[1])], "url string, verdict string")
+    pages = spark.createDataFrame([(0, allow[-1]), (1, bad[0] + "&x=1")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in U.judge(pages, [], labelled, max_train=40).collect()}
+    assert got[0][0] == "allow" and got[1][0] == "block" and got[0][1] < got[1][1]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     plan = U.judge(df)._jdf.queryExecution().executedPlan().toString()

@@ -4,8 +4,8 @@ DataFrame and ML functions only. Features: lengths of url, host and path, their
 digits, entropy of the characters, number of parameters, hyphens, longest label of the host, and
 statistics of the host's last label (its share of all urls, and how often it is labelled as blocked).
 Both classes weigh alike in training. The trees learn from labelled urls; by default those are the table's own urls that a rule fits,
-MAX_TRAIN at most (those with the least hash, a documented bound). Suffix statistics count all
-labelled rows.
+MAX_TRAIN distinct ones at most (those with the least hash, a documented bound): half of each class, or more
+of one where the other has less. Suffix statistics count all labelled rows.
 
 A rule is ``host/path``. It fits a url whose host is the rule's or a subdomain of it and whose path
 starts with the rule's; of several the longest wins. The list of rules is a parameter that is
@@ -91,10 +91,22 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
     suffixes = cut(shares.join(told, "suffix", "full"))
     order = F.xxhash64("url", "label")
     unknown = {"suffix_share": 0.0, "suffix_blocked": 0.5}
-    train = known.orderBy(order, "url").limit(max_train).join(suffixes, "suffix", "left").na.fill(unknown)
+    distinct = known.select("url", "label").distinct()
+
+    def least(df: DataFrame, label: float, n: int) -> DataFrame:
+        return df.where(F.col("label") == label).orderBy(order, "url").limit(n)
+
+    # max_train of each class are enough to tell how many of each to take
+    picked = cut(least(distinct, 0.0, max_train).union(least(distinct, 1.0, max_train)))
+    found = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    half, allowed, blocked = max(1, max_train // 2), found.get(0.0, 0), found.get(1.0, 0)
+    blocked = min(blocked, max(half, max_train - allowed))
+    allowed = min(allowed, max(half, max_train - blocked))
+    classes = {label: n for label, n in ((0.0, allowed), (1.0, blocked)) if n}
+    train = featured(least(picked, 0.0, allowed).union(least(picked, 1.0, blocked)))
+    train = train.join(suffixes, "suffix", "left").na.fill(unknown)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = cut(assembler.transform(train).select("features", "label"))
-    classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / classes.get(1.0, 1)).otherwise(0.5 / classes.get(0.0, 1)) * sum(classes.values()))
     rows = rows.join(suffixes, "suffix", "left").na.fill(unknown)
     if len(classes) == 2:
