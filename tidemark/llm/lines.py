@@ -1,10 +1,10 @@
-"""Line dedup: winnowing over line hashes.
+"""Line dedup: fingerprints over line hashes.
 
-A document is its sequence of lines, blank ones left aside. Of every window of neighbouring
-line pairs the least hash is kept as a fingerprint, so each run of ``RUN`` lines that occurs
-twice holds one fingerprint in both places. Fingerprints seen more than once are joined on
-their positions and the match is extended over the lines before and after: a run of RUN lines
-is repeated where an equal run came earlier, in the order of (doc_id, line). The lines of every
+A document is its sequence of lines, blank ones left aside. Every run of ``RUN`` lines has the
+least hash of its neighbouring line pairs as a fingerprint, the same wherever the run occurs.
+Where a fingerprint is seen more than once, hashes of the whole runs are compared, in place of
+extending a match over the lines before and after: a run of RUN lines is repeated where an
+equal run came earlier, in the order of (doc_id, line). The lines of every
 later repeated run are deleted; overlapping runs add up, so a match of any length goes whole.
 
 Lines are compared without white space around them. Deleted lines go with their line feed;
@@ -34,7 +34,7 @@ ROW, REPEATED = "_line_dedup_row", "_line_dedup_repeated"
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """For each run of RUN lines: the fingerprint that winnowing keeps in it, and the hash of the whole run."""
+    """For each run of RUN lines: its fingerprint, the least hash of its pairs, and the hash of the whole run."""
     for c in T.chunks(batch.column("text")):
         w = T.lines(c)
         n = len(w.hash)
