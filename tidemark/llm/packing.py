@@ -4,11 +4,12 @@ Each document becomes a hashed bag-of-words vector (signed feature hashing), pro
 dimensions by a fixed Gaussian matrix; the normal distribution function turns each coordinate
 into an even grid of 2**BITS cells, and the Hilbert index of its cell is the document's key.
 Documents are range-sorted by (key, doc_id), so neighbours on the curve lie side by side, and
-each range is cut into sequences of ``length`` tokens as it is read. What is left at the end of
-a range is cut at powers of two, which need no padding.
+each range is turned into ids and cut into sequences of ``length`` ids as it is read. What is left at the end of
+a range is cut at powers of two, which need no padding: at most log2(length) shorter sequences for each range.
+Keys are cheap, so they are computed for the ranges' bounds and again for the sort, and nothing is written between.
 
 Ids are those of byte_bpe_50k.json, computed by tiktoken over the same vocabulary's ranks (the
-tests hold both against each other), followed by ``end_id``. They are kept as 16-bit numbers.
+tests hold both against each other), followed by ``end_id``.
 The json's added tokens are found inside text too, as it finds them itself.
 
 Defined results: a null text is an empty one and gives just the end id; a null doc_id gives
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .frames import cut, map_arrow, map_partitions
+from .frames import find_package, map_partitions
 
 LENGTH, END_ID = 1024, 0
 DIMS, BITS, FEATURES = 3, 16, 256
 #: Fixed value: the pattern that splits text for this public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes and rows of text that a worker holds expanded at once; one longer text is held alone.
+HELD_BYTES, HELD_ROWS, HELD_PIECES = 1 << 18, 512, 1 << 14
 _PROJECTION = np.random.default_rng(20).standard_normal((FEATURES, DIMS))
 _encoders: dict[str, object] = {}
 
@@ -115,23 +118,27 @@ def hilbert(cell: np.ndarray) -> np.ndarray:
     return key
 
 
-def _encode(path: str | None, end_id: int):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(path).encode, allowed_special="all")
-        for c in T.chunks(batch.column("text")):
-            texts = batch.column("text").slice(c.low, c.high - c.low).to_pylist()
-            ids = [np.array([*encode(t), end_id] if t else [end_id], "<u2").tobytes() for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(c.low, c.high - c.low), "key": pa.array(hilbert(cells(vectors(c)))), "ids": pa.array(ids, pa.binary())})
+def curve_keys(texts: pa.Array) -> pa.Array:
+    """The Hilbert key of every text."""
+    found = [vectors(c) for c in T.chunks(texts, HELD_BYTES, HELD_ROWS)]
+    return pa.array(hilbert(cells(np.concatenate(found))) if found else np.zeros(0, np.int64), pa.int64())
 
-    return run
+
+def _ids(texts: pa.Array, path: str | None, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of every text and the end id."""
+    encode = partial(encoder(path).encode, allowed_special="all")
+    for low in range(0, len(texts), HELD_ROWS):
+        for t in texts.slice(low, HELD_ROWS):
+            t = t.as_py()
+            yield np.array([*encode(t), end_id] if t else [end_id], "<u4")
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = pa.schema([(n.split()[0], pa.int64()) for n in _PIECE.split(", ")])
 
 
-def _pack(length: int):
-    """Cuts a range of documents, as it comes, into sequences of length ids, and its end at powers of two."""
+def _pack(length: int, path: str | None, end_id: int):
+    """Turns a range of documents, as it comes, into ids and cuts them into sequences of length, and the range's end at powers of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,7 +149,7 @@ def _pack(length: int):
         def close(pieces: list, first: int) -> list[tuple]:
             out, offset = [], 0
             for doc, start, ids, total in pieces:
-                out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, first, offset))
+                out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, first, offset))
                 offset += len(ids)
             return out
 
@@ -151,8 +158,7 @@ def _pack(length: int):
 
         for batch in batches:
             found = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u2")
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _ids(batch.column("text"), path, end_id), strict=True):
                 start = 0
                 while start < len(ids):
                     part = ids[start : start + length - held]
@@ -161,6 +167,9 @@ def _pack(length: int):
                     if held == length:
                         found += close(open_, sequence)
                         open_, held, sequence = [], 0, sequence + 1
+                if len(found) >= HELD_PIECES:
+                    yield rows(found)
+                    found = []
             if found:
                 yield rows(found)
         found = []
@@ -184,9 +193,13 @@ def _pack(length: int):
 def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """Pieces of the documents and their places in sequences of at most ``length`` ids.
 
-    docs needs doc_id and text. vocabulary: path of a .tiktoken file that each machine has, with
-    fewer than 65,536 ids; None for the installed one. Added tokens are read from the .json beside it.
+    docs needs doc_id and text. vocabulary: path of a .tiktoken file that each machine has; None for the
+    installed one. Added tokens are read from the .json beside it.
     """
+    find_package(docs.sparkSession)
+    key = F.arrow_udf(curve_keys, "long")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = cut(map_arrow(docs, _encode(vocabulary, end_id), "doc_id long, key long, ids binary"))
-    return map_partitions(keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids"), _pack(length), _PIECE)
+    # equal rows are told apart by where they were read, so that very many of them are several ranges
+    keyed = docs.select("doc_id", "text", key("text").alias("key"), F.spark_partition_id().alias("part"))
+    ordered = keyed.repartitionByRange("key", "doc_id", "part").sortWithinPartitions("key", "doc_id", "text")
+    return map_partitions(ordered.select("doc_id", "text"), _pack(length, vocabulary, end_id), _PIECE)

@@ -50,7 +50,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + 1)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
@@ -69,8 +69,8 @@ class Chunk:
     bounds: np.ndarray
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """A string or binary column in runs of whole rows of about ``limit`` bytes; null is empty."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[Chunk]:
+    """A string or binary column in runs of whole rows of about ``limit`` bytes, and of at most ``rows`` rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -86,7 +86,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1)
-        high = min(high, n)
+        high = min(high, n, low + (rows or n))
         yield Chunk(low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         low = high
 
