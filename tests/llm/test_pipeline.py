@@ -1,7 +1,12 @@
 """The stages one after another, against what each must do, on a small corpus with planted cases."""
 
+import zlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
+from public_tokenizers import path
+from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from tests.llm.test_decontaminate import brute as leaks
@@ -57,7 +62,45 @@ def test_stages(spark, folder, tmp_path):
         if name == "packing":
             assert {r.doc_id for r in now} == {r.doc_id for r in seen} and all(r.length > 0 for r in now)
         seen = now
-    assert sorted(map(tuple, C.run(spark, folder).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect()), key=str) == sorted({(r.doc_id, r.doc_tokens) for r in seen}, key=str)
+    whole = C.run(spark, folder)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, seen))
+    placed(whole.collect(), [(r.doc_id, r.text) for r in docs_before(spark, tmp_path)])
+
+
+def docs_before(spark, at):
+    return spark.read.parquet(str(at / str(len(C.STAGES) - 2))).collect()
+
+
+def placed(pieces, docs):
+    """Every id of every document is in one piece, and every sequence is gapless and full or a power of two."""
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = sorted((str(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, text in docs for ids in [[*t.encode(text or "", add_special_tokens=False).ids, 0]])
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[str(p.doc_id)].append(p)
+        by_sequence[p.sequence_id].append(p)
+    ids = {i: [] for i, _, _ in want}
+    for i, n, _ in want:
+        ids[i].append(n)
+    for i, own in by_doc.items():
+        assert sum(p.length for p in own) == sum(ids[i]) and {p.doc_tokens for p in own} == set(ids[i])
+    whole = {(str(p.doc_id), p.doc_tokens, p.ids_crc32) for p in pieces if p.length == p.doc_tokens}
+    assert whole <= set(want) and set(by_doc) == set(ids)
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        ends = list(np.cumsum([p.length for p in own]))
+        assert [p.offset for p in own] == [0, *ends[:-1]] and (ends[-1] == 1024 or ends[-1] < 1024 and ends[-1] & (ends[-1] - 1) == 0)
+
+
+def test_rows_without_an_id_stay(spark):
+    """Whatever other rows hold: here an id that comes twice."""
+    ddl = "doc_id long, text string, source string"
+    rows = [(None, "one text", "a"), (None, "one text", "a"), (None, None, "b"), (3, "some other text", "a"), (3, "some other text", "b"), (4, "", "c"), (5, None, "c"), (5, None, "c")]
+    got = C.drop_near_copies(spark, spark.createDataFrame(rows, ddl), "")
+    assert got.schema.simpleString() == spark.createDataFrame([], ddl).schema.simpleString()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("3", "some other text"), ("4", ""), ("5", "None"), ("None", "None"), ("None", "one text"), ("None", "one text")]
+    one = C.drop_near_copies(spark, spark.createDataFrame(rows[:3], ddl), "")
+    assert one.count() == 3
 
 
 def test_empty_tables(spark, tmp_path):

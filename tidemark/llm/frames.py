@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -46,18 +47,34 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{_ROOT}:{have}" if have else _ROOT
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; what follows no longer depends on how they were made.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all machines share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in tests on
-    one machine, a temporary folder is set.
+    It is ``spark.checkpoint.dir``. Where that is unset on one machine (a local master, as in tests) a temporary
+    folder is set; on a cluster that would be a folder of the driver's own, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder; what follows no longer depends on how they were made."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As cut, for rows that are soon replaced by others: they are a table in the shared folder, which remove() deletes."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(n).type) for n, x in ((f.name, columns[f.name]) for f in schema)], schema=schema)
 
