@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from tidemark.llm import frames
 from tidemark.llm import lines as L
 
 
@@ -59,3 +61,29 @@ def test_no_rows_and_a_long_text(spark, make):
     text = "\n".join(make(k, 6) for k in range(20_000))
     got = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame([(1, text), (2, "new\n" + text)], "doc_id long, text string")).collect()}
     assert got[1].text == text and got[2].text == "new" and got[2].n_lines_deleted == 20_000
+
+
+def test_fingerprints_are_thinned(make):
+    """Window minima are far fewer than runs, and equal runs have the same one."""
+    lines = [make(k, 5) for k in range(400)]
+    texts = pa.array(["\n".join(lines), "\n".join([make(999, 5), *lines[100:140], make(998, 5)])])
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([1, 2]), "doc_id": pa.array([1, 2]), "text": texts})
+    rows = [r for b in L._selected(batch) for r in b.to_pylist()]
+    runs = [x for r in rows for x in r["runs"]]
+    assert len(runs) == 398 + 40 and len(rows) < 0.6 * len(runs)
+    by_run = {}
+    for r in rows:
+        for x in r["runs"]:
+            by_run.setdefault(x["run"], set()).add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_run.values()) and len(by_run) == 398 + 2 + 0  # 38 of the second text's are the first's
+
+
+@pytest.mark.parametrize("shares", [1, 3, 2048])
+def test_hot_keys_and_others(spark, monkeypatch, shares):
+    monkeypatch.setattr(frames, "HOT_SHARES", shares)
+    rows = [(k, i) for k, n in ((1, 50), (2, 7), (3, 1), (None, 4), (5, 20)) for i in range(n)]
+    left = spark.createDataFrame(rows, "k long, i long")
+    right = spark.createDataFrame([(1, 50, "a"), (2, 7, "b"), (5, 20, "c")], "k long, n long, x string")
+    got = sorted(map(tuple, frames.hot_join(left, right, ["k"], "n").select("k", "i", "x").collect()))
+    assert got == sorted((k, i, {1: "a", 2: "b", 5: "c"}[k]) for k, i in rows if k in (1, 2, 5))
+    assert frames.hot_join(left, right.limit(0), ["k"], "n").count() == 0

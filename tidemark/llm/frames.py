@@ -89,6 +89,23 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return left.withColumn("_turned", turned).join(right.withColumn("_turned", turned).drop(key), "_turned", how).drop("_turned")
 
 
+#: A key with more than one in HOT_SHARES of all rows is hot, so there are never more hot keys than that.
+HOT_SHARES = 2048
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """left joined with right (inner), which has a row for each combination of keys and, as ``weight``, how many rows of left have it.
+
+    Hot keys, at most HOT_SHARES of them however large the data, are sent to all tasks, so their rows stay where they
+    are; the others' rows are shuffled, and no key brings more than one in HOT_SHARES of them to a task. Both sides
+    are read twice. The weight is left out.
+    """
+    limit = (right.agg(F.sum(weight)).first()[0] or 0) / HOT_SHARES
+    hot, cold = (right.where(which).drop(weight) for which in (F.col(weight) > limit, F.col(weight) <= limit))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

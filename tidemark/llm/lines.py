@@ -1,18 +1,19 @@
-"""Line dedup: fingerprints over line hashes.
+"""Line dedup: winnowing over line hashes.
 
-A document is its sequence of lines, blank ones left aside. Every run of ``RUN`` lines has the
-least hash of its neighbouring line pairs as a fingerprint, the same wherever the run occurs.
-Where a fingerprint is seen more than once, hashes of the whole runs are compared, in place of
-extending a match over the lines before and after: a run of RUN lines is repeated where an
-equal run came earlier, in the order of (doc_id, line). The lines of every
-later repeated run are deleted; overlapping runs add up, so a match of any length goes whole.
+A document is its sequence of lines, blank ones left aside. A run of ``RUN`` lines is repeated where an equal
+run came earlier, in the order of (doc_id, line). Of each run the line with the least hash is the fingerprint
+(of equal ones the first), and only these lines are kept, with their positions: a run that two places share has
+its fingerprint at the same line of both, so none is missed, and about half of all lines are selected. Positions
+whose fingerprint occurs once are dropped by a join; around the others, matches are extended to the left and right
+over the hashes of the lines of the runs that selected the position. The lines of every later repeated run are
+deleted; overlapping runs add up, so a match of any length goes whole.
 
 Lines are compared without white space around them. Deleted lines go with their line feed;
 blank lines stay. Defined results: a null text stays null; texts of fewer than RUN lines lose
-nothing (unless they repeat inside a longer text, which needs RUN lines too); rows that share a
+nothing; rows that share a
 doc_id are told apart by their text, and of wholly equal rows the first keeps its lines and all
 later ones lose them; a null doc_id sorts first. Other columns of the input are kept as they are, but
-for one named n_lines_deleted, which is replaced.
+for one named n_lines_deleted, which is replaced. A very long text is expanded alone, in memory of its own size.
 """
 
 from __future__ import annotations
@@ -25,40 +26,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .frames import cut, map_arrow
+from .frames import cut, hot_join, map_arrow
 
-PAIR, RUN = 2, 3
-WINDOW = RUN - PAIR + 1
+RUN = 3
 #: Columns that a join needs beside the input's own.
 ROW, REPEATED = "_line_dedup_row", "_line_dedup_repeated"
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """For each run of RUN lines: its fingerprint, the least hash of its pairs, and the hash of the whole run."""
+def _windows(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin, and how many lines each has."""
+    at = np.flatnonzero(T.whole(w.first, len(w.hash), RUN))
+    return at, np.full(len(at), RUN)
+
+
+def _selected(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """For each selected line: its hash, and of the runs that selected it the first line, the number of lines and the hash."""
     for c in T.chunks(batch.column("text")):
         w = T.lines(c)
-        n = len(w.hash)
-        at = np.flatnonzero(T.whole(w.first, n, RUN))
+        at, size = _windows(w)
         if not len(at):
             continue
-        pairs = T.grams(w.hash, PAIR)
-        least = pairs[at]
-        for j in range(1, WINDOW):
-            least = np.minimum(least, pairs[at + j])
-        row = np.searchsorted(w.first, at, "right") - 1
-        yield pa.RecordBatch.from_pydict(
-            {
-                "row": batch.column("row").slice(c.low, c.high - c.low).take(pa.array(row)),
-                "doc_id": batch.column("doc_id").slice(c.low, c.high - c.low).take(pa.array(row)),
-                "fingerprint": pa.array(least.view(np.int64)),
-                "run": pa.array(T.grams(w.hash, RUN)[at].view(np.int64)),
-                "line": pa.array((at - w.first[row]).astype(np.int32)),
-            }
-        )
+        best = at.copy()
+        for j in range(1, RUN):
+            other = np.minimum(at + j, len(w.hash) - 1)
+            best = np.where((j < size) & (w.hash[other] < w.hash[best]), other, best)
+        whole = np.zeros(len(at), np.uint64)
+        for k in range(1, RUN + 1):
+            of = size == k
+            if of.any():
+                whole[of] = T.grams(w.hash, k)[at[of]]
+        order = np.argsort(best, kind="stable")
+        at, size, best, whole = at[order], size[order], best[order], whole[order]
+        cuts = np.flatnonzero(np.diff(best, prepend=-1))
+        line, offsets = best[cuts], pa.array(np.append(cuts, len(best)).astype(np.int32))
+        row = np.searchsorted(w.first, best, "right") - 1
+        runs = pa.StructArray.from_arrays([pa.array((at - w.first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64))], ["line", "size", "run"])
+        own = pa.array(row[cuts])
+        rows = batch.slice(c.low, c.high - c.low)
+        yield pa.RecordBatch.from_pydict({"row": rows.column("row").take(own), "doc_id": rows.column("doc_id").take(own), "fingerprint": pa.array(w.hash[line].view(np.int64)), "runs": pa.ListArray.from_arrays(offsets, runs)})
 
 
 def _without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The texts without the lines that begin or lie in a run marked as repeated."""
+    """The texts without the lines of runs marked as repeated."""
     gone = batch.column(REPEATED)
     texts = batch.column("text")
     out, counts = [], np.zeros(batch.num_rows, np.int64)
@@ -70,26 +79,31 @@ def _without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 continue
             w = w or T.lines(c)
             low, high = w.first[r - c.low], w.first[r - c.low + 1]
-            lines = np.unique(np.array(gone[r].as_py())[:, None] + np.arange(RUN)) + low
+            line, size = (gone[r].values.field(k).to_numpy() for k in ("line", "size"))
+            step = np.zeros(high - low + 1, np.int64)
+            np.add.at(step, line, 1)
+            np.add.at(step, line + size, -1)
+            lines = np.flatnonzero(np.cumsum(step[:-1]) > 0) + low
             data = c.data[c.bounds[r - c.low] : c.bounds[r - c.low + 1]]
             keep, base = np.ones(len(data), bool), c.bounds[r - c.low]
-            for k in lines[lines < high]:
+            for k in lines:
                 keep[w.start[k] - base : w.end[k] - base + 1] = False
             kept = data[keep].tobytes().decode()
             out.append(kept[:-1] if kept.endswith("\n") and not data.tobytes().endswith(b"\n") else kept)
-            counts[r] = (lines < high).sum()
+            counts[r] = len(lines)
     names = [n for n in batch.schema.names if n not in ("text", REPEATED)]
     yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.string()), pa.array(counts)], [*names, "text", "n_lines_deleted"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(row, line): the runs of RUN lines that an equal run precedes. docs: row, doc_id, text."""
-    runs = cut(map_arrow(docs, _runs, "row long, doc_id long, fingerprint long, run long, line int"))
-    often = runs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    met = runs.join(often, "fingerprint", "left_semi")
+    """(row, line, size): the runs that an equal run precedes. docs: row, doc_id, text."""
+    places = cut(map_arrow(docs, _selected, "row long, doc_id long, fingerprint long, runs array<struct<line int, size int, run long>>"))
+    often = cut(places.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = hot_join(places, often, ["fingerprint"], "n")
+    met = cut(met.select("row", "doc_id", "fingerprint", F.explode("runs").alias("r")).select("row", "doc_id", "fingerprint", "r.line", "r.size", "r.run"))
     place = F.struct("doc_id", "row", "line")
-    first = met.groupBy("fingerprint", "run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return met.join(first, ["fingerprint", "run"]).where(place != F.col("first")).select("row", "line")
+    first = cut(met.groupBy("fingerprint", "run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return hot_join(met, first, ["fingerprint", "run"], "n").where(place != F.col("first")).select("row", "line", "size")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -105,7 +119,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     if twice.limit(1).count():
         keyed = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
     runs = repeated_runs(keyed.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long"), "text"))
-    gone = runs.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("line").alias(REPEATED))
+    gone = runs.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("line", "size")).alias(REPEATED))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
     found = map_arrow(keyed.join(gone, ROW, "left").drop(ROW), _without, f"{kinds}text string, n_lines_deleted long")
     return found.select(*[F.col(f"`{c}`") for c in own], "n_lines_deleted")
