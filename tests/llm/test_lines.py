@@ -2,11 +2,12 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import frames
+from tests.llm.test_decontaminate import words
 from tidemark.llm import lines as L
 
 
 def brute(rows):
-    """rows: (doc_id, text). Later runs of three lines go."""
+    """rows: (doc_id, text). Later runs of three lines, or of fewer with 50 words, go."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     seen, out = set(), {}
     for i in order:
@@ -17,16 +18,25 @@ def brute(rows):
         parts = text.split("\n")
         black = [k for k, x in enumerate(parts) if x.strip(" \t\r")]
         gone = set()
-        for k in range(len(black) - 2):
-            run = tuple(parts[j].strip(" \t\r") for j in black[k : k + 3])
+        for k in range(len(black)):
+            own = next((black[k : k + m] for m in (1, 2, 3) if k + m <= len(black) and (m == 3 or sum(len(words(parts[j])) for j in black[k : k + m]) >= 50)), None)
+            if own is None:
+                continue
+            run = tuple(parts[j].strip(" \t\r") for j in own)
             if run in seen:
-                gone |= set(black[k : k + 3])
+                gone |= set(own)
             seen.add(run)
         out[i] = (rows[i][0], "\n".join(x for k, x in enumerate(parts) if k not in gone), len(gone))
     return sorted(map(str, out.values()))
 
 
+def n_words(n, of="w"):
+    return " ".join(f"{of}{k}" for k in range(n))
+
+
 CASES = {
+    "words": [(1, n_words(50)), (2, "x\n" + n_words(50) + "\ny"), (3, n_words(49)), (4, n_words(49)), (5, n_words(30, "a") + "\n" + n_words(20, "b")), (6, "q\n" + n_words(30, "a") + "\n\n " + n_words(20, "b") + "\nz"), (7, n_words(20, "b") + "\n" + n_words(30, "c")),
+              (8, n_words(20, "b") + "\n" + n_words(30, "c") + "\n" + n_words(60)), (9, n_words(60).upper()), (10, n_words(60) + "\n" + n_words(60)), (11, "é " * 50), (12, "é " * 50 + "\nend")],
     "copies": [(i, "a b\nc d\ne f\ng h") for i in range(6)] + [(9, "zz\na b\nc d\ne f\nyy")],
     "chain": [(1, "l1\nl2\nl3\nl4\nl5\nl6\nl7"), (2, "x\nl2\nl3\nl4\nl5\ny"), (3, "l1\nl2\nq\nl3\nl4\nl5"), (4, "l6\nl7")],
     "inside one": [(1, "a\nb\nc\nd\na\nb\nc\nb\nc\nd")], "same line": [(1, "a\n" * 9), (2, "a\na\na\n")],

@@ -55,7 +55,7 @@ def test_stages(spark, folder, tmp_path):
         if name == "n-gram Jaccard join":
             own = [eval(x) for x in classes([(r.doc_id, r.text) for r in seen])]
             assert {r.doc_id for r in now} == {i for i, c, _ in own if i is None or c == i}
-            assert {1100} == {r.doc_id for r in now if r.doc_id and 1100 <= r.doc_id < 1110} and sum(r.doc_id == 1303 for r in now) == 1 and sum(r.doc_id == 1304 for r in now) == 2
+            assert {1100} == {r.doc_id for r in now if r.doc_id and 1100 <= r.doc_id < 1110 and r.text} and sum(r.doc_id == 1303 for r in now) == 1 and sum(r.doc_id == 1304 for r in now) == 2
         if name == "benchmark decontamination":
             want = {x[0] for x in leaks([(r.doc_id, r.text) for r in seen], [(1, spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text)]) if x[2]}
             assert {1200, 1201, 1202} <= want and {r.doc_id for r in now} == {r.doc_id for r in seen} - want

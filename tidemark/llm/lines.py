@@ -1,7 +1,9 @@
 """Line dedup: winnowing over line hashes.
 
-A document is its sequence of lines, blank ones left aside. A run of ``RUN`` lines is repeated where an equal
-run came earlier, in the order of (doc_id, line). Of each run the line with the least hash is the fingerprint
+A document is its sequence of lines, blank ones left aside. At each line a run begins that ends with the ``RUN``-th line,
+or before that as soon as it has ``RUN_WORDS`` words (see ``text``); it is repeated where an equal
+run came earlier, in the order of (doc_id, line). So a repeat of three lines or of 50 words is found, be it a single line;
+what is shorter stays. Of each run the line with the least hash is the fingerprint
 (of equal ones the first), and only these lines are kept, with their positions: a run that two places share has
 its fingerprint at the same line of both, so none is missed, and about half of all lines are selected. Positions
 whose fingerprint occurs once are dropped by a join; around the others, matches are extended to the left and right
@@ -9,8 +11,8 @@ over the hashes of the lines of the runs that selected the position. The lines o
 deleted; overlapping runs add up, so a match of any length goes whole.
 
 Lines are compared without white space around them. Deleted lines go with their line feed;
-blank lines stay. Defined results: a null text stays null; texts of fewer than RUN lines lose
-nothing; rows that share a
+blank lines stay. Defined results: a null text stays null; texts of fewer than RUN lines and fewer than RUN_WORDS words lose
+nothing; a text that is repeated as a whole becomes empty; rows that share a
 doc_id are told apart by their text, and of wholly equal rows the first keeps its lines and all
 later ones lose them; a null doc_id sorts first. Other columns of the input are kept as they are, but
 for one named n_lines_deleted, which is replaced. A very long text is expanded alone, in memory of its own size.
@@ -28,22 +30,30 @@ from pyspark.sql import functions as F
 from . import text as T
 from .frames import cut, hot_join, map_arrow
 
-RUN = 3
+RUN, RUN_WORDS = 3, 50
 #: Columns that a join needs beside the input's own.
 ROW, REPEATED = "_line_dedup_row", "_line_dedup_repeated"
 
 
-def _windows(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+def _windows(w: T.Words, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Where runs begin, and how many lines each has."""
-    at = np.flatnonzero(T.whole(w.first, len(w.hash), RUN))
-    return at, np.full(len(at), RUN)
+    n = len(w.hash)
+    word, _ = T.spans(T.IS_WORD[T.LOWER[chunk.data]], chunk.bounds)
+    words = np.searchsorted(word, w.end) - np.searchsorted(word, w.start)
+    size, sum_ = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(1, RUN + 1):  # a run of k lines, where no shorter one has words enough
+        inside = T.whole(w.first, n, k)
+        sum_[: n - k + 1] += words[k - 1 :]
+        size[inside & (size == 0) & ((sum_ >= RUN_WORDS) | (k == RUN))] = k
+    at = np.flatnonzero(size)
+    return at, size[at]
 
 
 def _selected(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """For each selected line: its hash, and of the runs that selected it the first line, the number of lines and the hash."""
     for c in T.chunks(batch.column("text")):
         w = T.lines(c)
-        at, size = _windows(w)
+        at, size = _windows(w, c)
         if not len(at):
             continue
         best = at.copy()

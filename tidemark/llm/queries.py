@@ -57,7 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_top_k, op4_main_text, op5_license_scan, op6_repeated_passages, op7_jaccard_join, op8_url_filter, op9_toxicity, op10_line_dedup)}
 
-_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS_OF = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = _WORDS_OF.format("text")
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": rf"""
@@ -90,12 +91,13 @@ p AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b, min(lo) AS lo, max(hi) AS hi
 o AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
 m AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM o)
 SELECT doc_id, CAST(min(a) AS BIGINT) AS start_word, CAST(max(b) - min(a) AS BIGINT) AS n_words, min(lo) AS first_doc_id, max(hi) AS last_doc_id, CAST(max(n) AS BIGINT) AS n_places, arg_min(leads, a) AS is_first FROM m GROUP BY doc_id, part""",
-    "op10_line_dedup": r"""
+    "op10_line_dedup": rf"""
 WITH l AS (SELECT doc_id, p, x FROM (SELECT doc_id, unnest(x) AS x, unnest(range(len(x))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
-b AS (SELECT doc_id, p, trim(x, chr(32) || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS k FROM l WHERE trim(x, chr(32) || chr(9) || chr(13)) <> ''),
-r AS (SELECT doc_id, k, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS run FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-late AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM r WHERE run IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, k + j AS k FROM late, (SELECT unnest(range(3)) AS j)),
+b AS (SELECT doc_id, p, t, len({_WORDS_OF.format("t")}) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS k FROM (SELECT *, trim(x, chr(32) || chr(9) || chr(13)) AS t FROM l) WHERE t <> ''),
+n AS (SELECT *, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3, lead(w) OVER o AS w2 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k, CASE WHEN w >= {lines.RUN_WORDS} THEN 1 WHEN w + w2 >= {lines.RUN_WORDS} THEN 2 WHEN t3 IS NOT NULL THEN 3 END AS m, t, t2, t3 FROM n),
+late AS (SELECT doc_id, k, m FROM (SELECT doc_id, k, m, row_number() OVER (PARTITION BY CASE m WHEN 1 THEN t WHEN 2 THEN t || chr(10) || t2 ELSE t || chr(10) || t2 || chr(10) || t3 END ORDER BY doc_id, k) AS n FROM r WHERE m IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM late, (SELECT unnest(range(3)) AS j) WHERE j < m),
 out AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.p) FILTER (gone.k IS NULL) AS text, count(gone.k) AS n
   FROM l LEFT JOIN b USING (doc_id, p) LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.k = b.k GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(out.text, '') END AS text, CAST(coalesce(out.n, 0) AS BIGINT) AS n_lines_deleted FROM documents d LEFT JOIN out USING (doc_id)""",
