@@ -74,6 +74,33 @@ def test_no_rows(spark):
     assert [tuple(r) for r in J.jaccard_join(spark.createDataFrame([(1, None)], empty.schema)).collect()] == [(1, 1, 0)]
 
 
+def test_runs_of_any_length(spark, make, monkeypatch):
+    """Runs that are compared, linked whole because they are long, and cut by partitions give the same."""
+    rows = [(100 * k + j, edited(make(k, 120), 0.004, j)) for k in range(6) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for run, held in ((2048, 1 << 22), (3, 1 << 22), (2048, 400)):
+        monkeypatch.setattr(J, "RUN", run)
+        monkeypatch.setattr(J, "HELD", held)
+        assert sorted(str(tuple(r)) for r in J.jaccard_join(df).select("doc_id", "class_id", "n_links").collect()) == want
+
+
+def test_chance_matches_connect_nothing(spark, make):
+    """Texts with half of their words in common often share a prefix, and no link."""
+    half = make(1, 100)
+    nodes = spark.createDataFrame([(i, f"{half} {make(100 + i, 100)}") for i in range(150)], "doc_id long, text string")
+    found = J.map_arrow(nodes, J._nodes, "doc_id long, node long, size int, labels binary")
+    assert J.candidates(found.select("node", "labels"), 0.8).count() <= 5
+    assert J.least_agreement(0.8) < 0.8 * J.TREES * J.DEPTH - 20
+
+
+def test_blocks_by_bytes(spark, make, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_BYTES", 4000)
+    rows = [(i, edited(make(7, 300), 0.003, i)) for i in range(20)]
+    got = sorted(str(tuple(r)) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect())
+    assert got == brute(rows)
+
+
 def test_depth():
     assert J.match_depth(0.8) == 6 and J.match_depth(0.95) == 8 and J.match_depth(0.5) < 4
     assert 1 - (1 - 0.8 ** J.match_depth(0.8)) ** J.TREES >= J.RECALL

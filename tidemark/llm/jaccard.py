@@ -2,20 +2,25 @@
 
 A text is its set of distinct shingles of ``SHINGLE`` words (a text of fewer words is one
 shingle). Texts with equal sets are one node. Each of ``TREES`` trees labels a node with DEPTH
-bytes, one of each of DEPTH minimum hashes; the sorted labels are the tree's prefix trie. The
-matched prefix is shortened from DEPTH until TREES prefixes of that length find a pair at the
-threshold with at least the target recall (``match_depth``). Neighbours in the sorted order that
-share so long a prefix are candidates, and so, through them, is everything connected to them.
-
-Candidates are verified exactly: every pair inside a connected group of candidates is compared
-on its whole shingle sets, in blocks of BLOCK nodes against BLOCK nodes, each a task's unit.
+bytes, one of each of DEPTH minimum hashes; the sorted labels are the tree's prefix trie. All trees descend
+together from the longest prefix, which is shortened until TREES prefixes of that length find a pair at the
+threshold with at least the target recall (``match_depth``); as a join has to find the least alike pair that counts, that
+depth is one for all nodes. Nodes that share so long a prefix are a run.
+
+Inside a run the prefix is shortened only as far as it has to be: nodes are linked where their TREES * DEPTH minima
+agree as often as those of a pair at the threshold do, less five standard errors, first those with the longest common
+prefix, and a node that is linked with another already isn't compared with it at shorter ones. So mere chance matches
+connect nothing. Runs of more than RUN nodes are linked whole, which only adds candidates.
+
+What is connected by such links is verified exactly: every pair inside a connected group is compared
+on its whole shingle sets, in blocks of about BLOCK nodes or BLOCK_BYTES against as many, each a task's unit.
 A block pair returns counts of links and a spanning forest of them, never the pairs, so a group
 of n near copies costs n / BLOCK reads of each member and no output that grows with n * n.
 Recall is thus at least that of the forest (0.999 at the threshold, more above it).
 
 Defined results: null, empty and wordless texts are classes of their own, with no links; rows
 with a null doc_id get no class and no links; rows of one doc_id and different texts are
-told apart by text; other columns are ignored.
+told apart by text; a very long text is read whole, alone in its task's memory; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,10 @@ from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999
-BLOCK = 256
+#: Nodes of a run that are compared pair by pair on their minima; nodes and bytes of a block that is verified.
+RUN, BLOCK, BLOCK_BYTES = 512, 128, 8 << 20
+#: Minima compared at once.
+HELD = 1 << 22
 _SEED = T.mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _MULTIPLY = (_SEED[: TREES * DEPTH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _XOR = (_SEED[TREES * DEPTH :] >> np.uint64(32)).astype(np.uint32)
@@ -87,11 +95,40 @@ def _nodes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(c.low, c.high - c.low), "node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "labels": pa.array(made, pa.binary())})
 
 
+def least_agreement(threshold: float) -> int:
+    """How many of the TREES * DEPTH minima a pair at the threshold shares at least, but for five standard errors."""
+    n = TREES * DEPTH
+    return math.floor(n * threshold - 5 * math.sqrt(n * threshold * (1 - threshold)))
+
+
 def _in_order(depth: int):
-    """Over sorted (tree, label, node): an edge to the head of each run of equal prefixes, and the runs a partition ends with."""
+    """Over sorted (tree, label, node): the runs of equal prefixes. A run that is too long, or that another partition may
+    hold a part of, comes as edges to its head; where it may go on, its key tells its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, first = None, True  # the open run: tree, prefix, node
+        held: list[np.ndarray] = []  # the nodes of the open run
+        last, first = None, True
+
+        def rows(edges: list, runs: list, ends: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 2
+            n, m, k = len(a), len(runs), len(ends)
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array([*a.tolist(), *[None] * m, *[x for x, _ in ends]], pa.int64()), "b": pa.array([*b.tolist(), *[None] * m, *[x for x, _ in ends]], pa.int64()),
+                "key": pa.array([None] * (n + m) + [x for _, x in ends], pa.int64()), "run": pa.array([None] * n + [x.tolist() for x in runs] + [None] * k, pa.list_(pa.int64())),
+            })
+
+        def close(out: tuple[list, list, list], nodes: np.ndarray, key: int, end: bool) -> None:
+            nonlocal first
+            edges, runs, ends = out
+            if first or end:
+                ends.append((int(nodes[0]), key))
+            if len(nodes) > 1:
+                if first or end or len(nodes) > RUN:
+                    edges.append((np.full(len(nodes) - 1, nodes[0]), nodes[1:]))
+                else:
+                    runs.append(np.sort(nodes))
+            first = False
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -99,32 +136,114 @@ def _in_order(depth: int):
             label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, DEPTH)
             prefix = np.zeros((n, 8), np.uint8)
             prefix[:, 8 - depth :] = label[:, :depth]
-            key = prefix.view(">u8").ravel().astype(np.int64) * TREES + batch.column("tree").to_numpy()
+            tree = batch.column("tree").to_numpy().astype(np.uint64)
+            key = T.mix(prefix.view(">u8").ravel().astype(np.uint64) ^ T.mix(tree)).view(np.int64)
             node = batch.column("node").to_numpy()
-            new = np.concatenate([[head is None or key[0] != head[0]], key[1:] != key[:-1]])
-            heads = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            lead = np.concatenate([node[heads], [head[1] if head else 0]])[of]
-            inner = ~new
-            a, b, k = [lead[inner]], [node[inner]], [np.full(inner.sum(), -1)]
-            if first:  # the run that the partition before may have begun
-                a, b, k, first = [*a, node[:1]], [*b, node[:1]], [*k, key[:1]], False
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "key": pa.array(np.concatenate(k))})
-            head = (key[-1], lead[-1])
-        if head:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([head[1]], pa.int64()), "b": pa.array([head[1]], pa.int64()), "key": pa.array([head[0]], pa.int64())})
+            cuts = [0, *(np.flatnonzero(np.diff(key) != 0) + 1).tolist(), n]
+            out: tuple[list, list, list] = [], [], []
+            if held and key[0] != last:
+                close(out, np.concatenate(held), last, False)
+                held = []
+            held.append(node[: cuts[1]])
+            last = int(key[0])
+            if len(cuts) > 2:
+                close(out, np.concatenate(held), last, False)
+                sizes = np.diff(cuts[1:-1])
+                for k in np.flatnonzero(sizes > 1).tolist():
+                    close(out, node[cuts[k + 1] : cuts[k + 2]], int(key[cuts[k + 1]]), False)
+                held, last = [node[cuts[-2] :]], int(key[-1])
+            if any(out):
+                yield rows(*out)
+        if held:
+            out = [], [], []
+            close(out, np.concatenate(held), last, True)
+            yield rows(*out)
 
     return run
 
 
+def _linked(least: int):
+    """Over rows (run, node, labels) sorted by run: a spanning forest of the nodes of each run that agree often enough."""
+
+    def forest(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(node)
+        root = np.arange(n)
+        step = max(1, HELD // (n * TREES * DEPTH))
+        for low in range(0, n, step):
+            some = np.arange(low, min(low + step, n))
+            i, j = np.nonzero((root[some, None] != root[None]) & (some[:, None] < np.arange(n)[None]))
+            if not len(i):
+                continue
+            i = some[i]
+            for at in range(0, len(i), HELD // (TREES * DEPTH)):
+                p, q = i[at : at + HELD // (TREES * DEPTH)], j[at : at + HELD // (TREES * DEPTH)]
+                use = root[p] != root[q]
+                p, q = p[use], q[use]
+                good = (label[p] == label[q]).sum(1) >= least
+                root = joined(root, p[good], q[good])
+        moved = np.flatnonzero(root != np.arange(n))
+        return node[root[moved]], node[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, labels = None, [], []
+        a, b = [], []
+
+        def settle() -> None:
+            if len(nodes) == 2:
+                if sum(x == y for x, y in zip(*labels, strict=True)) >= least:
+                    a.append(np.array(nodes[:1], np.int64))
+                    b.append(np.array(nodes[1:], np.int64))
+            elif len(nodes) > 2:
+                # those with the longest common prefixes first to each other: their labels are neighbours
+                order = np.argsort(np.array(labels, "S0").astype(f"S{TREES * DEPTH}"), kind="stable")
+                x, y = forest(np.array(nodes, np.int64)[order], np.frombuffer(b"".join(labels), np.uint8).reshape(len(nodes), -1)[order])
+                a.append(x)
+                b.append(y)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
+
+        for batch in batches:
+            for r, node, label in zip(batch.column("run").to_pylist(), batch.column("node").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+                if r != now:
+                    settle()
+                    now, nodes, labels = r, [], []
+                nodes.append(node)
+                labels.append(label)
+            yield out()
+            a.clear()
+            b.clear()
+        settle()
+        yield out()
+
+    return run
+
+
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that each index reaches by the pairs (i, j), from what it reaches already."""
+    while True:
+        least = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(least, root[i], low)
+        np.minimum.at(least, root[j], low)
+        least = least[least[root]]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between nodes that share a long enough prefix in a tree, a star for each run of them."""
+    """Edges (a, b) that connect the nodes which share a long enough prefix in a tree and are likely alike."""
     tries = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.expr("labels").substr(t * DEPTH + 1, F.lit(DEPTH)))).alias("tree", "label"))
     ordered = tries.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    found = cut(map_partitions(ordered, _in_order(match_depth(threshold)), "a long, b long, key long"))
-    ends = found.where("key >= 0")  # two rows of each partition
+    found = cut(map_partitions(ordered, _in_order(match_depth(threshold)), "a long, b long, key long, run array<bigint>"))
+    ends = found.where("key is not null")  # two rows of each partition at most
     heads = ends.groupBy("key").agg(F.min("a").alias("head"))
-    return found.where("key < 0").select("a", "b").union(ends.join(heads, "key").select(F.col("head").alias("a"), "b"))
+    plain = found.where("key is null and run is null").select("a", "b").union(ends.join(heads, "key").select(F.col("head").alias("a"), "b"))
+    # trees often give the same run
+    runs = found.where("run is not null").select("run").distinct().select(F.xxhash64("run", F.lit(5)).alias("run"), F.explode("run").alias("node"))
+    known = runs.join(nodes.select("node", "labels"), "node").repartition("run").sortWithinPartitions("run", "labels")
+    return plain.union(map_partitions(known, _linked(least_agreement(threshold)), "a long, b long"))
 
 
 def _verify(threshold: float):
@@ -137,13 +256,16 @@ def _verify(threshold: float):
 
     def links(parts: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
         node, copies, side, sets = block(parts)
+        one = side[0] == 2  # a block with itself
+        side[side == 2] = 0
+        if not one and len(np.unique(side)) < 2:  # the other block has no nodes
+            return
         n, size = len(node), np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(n), size)
         _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         use = often[column] > 1
         owner, column = owner[use], np.unique(column[use], return_inverse=True)[1]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one = not len(right)
         right = left if one else right
         shared = np.zeros((len(left), len(right)), np.float32)
         place = np.zeros(n, np.int64)
@@ -171,17 +293,8 @@ def _verify(threshold: float):
         yield node[left], alike @ copies[right], np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not one:
             yield node[right], copies[left] @ alike, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        root = np.arange(n)  # a spanning forest, by the least index reached
         i, j = np.nonzero(alike)
-        i, j = left[i], right[j]
-        while True:
-            least = root.copy()
-            np.minimum.at(least, i, root[j])
-            np.minimum.at(least, j, root[i])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
+        root = joined(np.arange(n), left[i], right[j])  # a spanning forest, by the least index reached
         moved = np.flatnonzero(root != np.arange(n))
         yield np.zeros(0, np.int64), np.zeros(0, np.int64), node[moved], node[root[moved]]
 
@@ -225,18 +338,20 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = cut(map_arrow(docs, _nodes, "doc_id long, node long, size int, labels binary"))
     member = rows.where("doc_id is not null and node is not null")
-    nodes = member.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
+    nodes = member.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"), F.first("size").alias("size"))
     nodes = cut(nodes)
-    roots = cut(components(candidates(nodes.select("node", "labels"), threshold)))
-    group = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = split_join(roots, group, "root").join(nodes.select("node", "least", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    roots = components(candidates(nodes.select("node", "labels"), threshold)).join(nodes.select("node", "least", "copies", "size"), "node")
+    roots = cut(roots)
+    group = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    group = group.select("root", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = split_join(roots.drop("size"), group, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     texts = docs.join(placed.select(F.col("least").alias("doc_id"), "node"), "doc_id")
     sets = map_arrow(texts, _sets, "node long, shingles binary").dropDuplicates(["node"])
     full = placed.join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = full.withColumn("other", other).select(
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "shingles")
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "shingles")
     found = cut(map_partitions(cells.repartition("cell").sortWithinPartitions("cell"), _verify(threshold), "node long, n long, a long, b long"))
     links = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
     classes = components(found.where("a is not null").select("a", "b"))
