@@ -8,6 +8,7 @@ URLS = [
     "http://a.com/x", "http://com/", "http://a.com", "https://EXAMPLE.com/en/1", "https://www.example.com/en/1", "http://x.www.example.com/en/", "http://example.com/fr/", "http://notexample.com/en/2", "http://a.net/es/1?q=1",
     "http://net/fr/", "http://a.net/esx", "http://a.net/de/", "http://a.b.org/p/q?x=1&y=2#z", "http://a.com?x=/", "http://a.com#/en/", "no scheme/com/", "", None, "ftp://h.com:80/en/", "http:///p", "x://a.com/b://c.net/fr/", "HTTP://Ä.Com/É",
     "http://m.example.com/EN/", "http://a.net/es/\n/x", "http://.com/",
+    "http://long.org/" + "a/b?c=1&" * 30_000, "http://" + "h" * 50_000 + ".net/fr/x",
 ]
 
 
@@ -38,6 +39,16 @@ def test_learns_from_labelled_urls(spark):
     assert got == {i: v for i, (_, v) in enumerate(good[150:] + bad[150:])}
 
 
+def test_a_suffix_labelled_in_one_way_tells_nothing(spark):
+    """Of two suffixes with one label each, urls without a label are judged by what their own look is."""
+    look = {"allow": "https://shop{}.example.{}/item/{}", "block": "http://free-bets-4u-{}.example.{}/?id={}9731&s=1&t=99&click=1"}
+    told = [(look["allow"].format(i, "org", i), "allow") for i in range(150)] + [(look["block"].format(i, "net", i), "block") for i in range(150)]
+    told += [(look[v].format(i, "info", i), v) for i in range(150) for v in look]
+    asked = [(k, look[v].format(1000 + i, s, i)) for k, (v, s, i) in enumerate((v, s, i) for v in look for s in ("org", "net", "info") for i in range(10))]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(asked, "page_id long, url string"), [], spark.createDataFrame(told, "url string, verdict string")).collect()}
+    assert [got[k] for k, _ in asked] == ["allow"] * 30 + ["block"] * 30
+
+
 def test_one_class_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     one = spark.createDataFrame([("http://b.org/", "block")], "url string, verdict string")

@@ -2,7 +2,10 @@
 
 DataFrame and ML functions only. Features: lengths of url, host and path, their depths, ratio of
 digits, entropy of the characters, number of parameters, hyphens, longest label of the host, and
-statistics of the host's last label (its share of all urls, and how often it is labelled as blocked).
+statistics of the host's last label: the decade of its share of all urls, and in tenths how often it is labelled as
+blocked. Both are coarse, so that they don't name single suffixes; the latter counts other folds' urls only for a url that
+is learnt from, and where a suffix is labelled in one way only, which would repeat the rule that gave the labels, it is
+the rate of all suffixes that are labelled both ways.
 Both classes weigh alike in training. The trees learn from labelled urls; by default those are the table's own urls that a rule fits,
 MAX_TRAIN distinct ones at most (those with the least hash, a documented bound): half of each class, or more
 of one where the other has less. Suffix statistics count all labelled rows.
@@ -13,7 +16,7 @@ compiled into the plan, for lists of up to some thousands.
 
 Defined results: null urls and those without ``://`` have an empty host and path, no rule, and the
 trees' verdict; with labelled rows of one class only, or none, the verdict where no rule fits is
-that class's, or allow; repeated rows give repeated rows; other columns are ignored.
+that class's, or allow; repeated rows give repeated rows; very long urls are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from .frames import cut
 
 #: (verdict, rule)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-MAX_TRAIN, TREES, DEPTH = 10_000, 20, 3
+MAX_TRAIN, TREES, DEPTH, FOLDS = 10_000, 20, 3, 5
+#: Partitions of the urls to learn from: they are few, and each tree level is a job over them.
+TRAIN_PARTS = 4
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#=&%+"
 FEATURES = ["n_url", "n_host", "n_path", "host_depth", "path_depth", "digits", "entropy", "params", "hyphens", "longest_label", "suffix_share", "suffix_blocked"]
 
@@ -80,17 +85,30 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
         host, path = parts(F.col("url"))
         df = df.withColumns({"host": host, "path": path})
         df = df.withColumns({k: v.cast("double") for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()})
-        return df.withColumn("suffix", F.substring_index("host", ".", -1))
+        return df.withColumns({"suffix": F.substring_index("host", ".", -1), "fold": F.pmod(F.xxhash64("url", F.lit(17)), F.lit(FOLDS))})
 
     given = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)]) if rules else F.lit(None).cast("map<string,string>")
-    rows = featured(pages.select(F.col("page_id").cast("long"), "url")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    known = featured(labelled.select("url", "verdict")) if labelled is not None else rows.where("rule is not null").withColumn("verdict", given[F.col("rule")])
-    known = known.withColumn("label", (F.col("verdict") == "block").cast("double")).where("label is not null")
-    shares = rows.groupBy("suffix").agg((F.count(F.lit(1)) / F.lit(max(1, rows.count()))).alias("suffix_share"))
-    told = known.groupBy("suffix").agg(((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1)).alias("suffix_blocked"))
-    suffixes = cut(shares.join(told, "suffix", "full"))
+    blocked = lambda verdict: F.when(verdict.isin("allow", "block"), (verdict == "block").cast("double"))
+    rows = featured(pages.select(F.col("page_id").cast("long"), "url")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("label", blocked(given[F.col("rule")]))
+    if labelled is None:
+        known, told = rows.where("label is not null"), rows.select("suffix", "fold", "label", F.lit(1).alias("n"))
+    else:
+        known = featured(labelled.select("url", "verdict")).withColumn("label", blocked(F.col("verdict"))).where("label is not null")
+        told = rows.select("suffix", "fold", F.lit(None).cast("double").alias("label"), F.lit(1).alias("n")).union(known.select("suffix", "fold", "label", F.lit(0).alias("n")))
+    told = cut(told.groupBy("suffix", "fold").agg(F.sum("n").alias("n"), F.count("label").alias("known"), F.sum("label").alias("bad")))
+    suffixes = told.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    mixed = F.when((F.col("bad") > 0) & (F.col("bad") < F.col("known")), F.lit(1))
+    total, both, worse = suffixes.agg(F.sum("n"), F.sum(mixed * F.col("known")), F.sum(mixed * F.col("bad"))).first()
+    usual = F.lit(round(worse / both, 1) if both else 0.5)
+
+    def statistics(n: Column, known: Column, bad: Column) -> list[Column]:
+        rate = F.when((bad > 0) & (bad < known), F.round((bad + 0.5) / (known + 1), 1)).otherwise(usual)
+        return [F.when(n > 0, F.floor(F.log10(n / F.lit(float(total or 1))))).otherwise(-12).cast("double").alias("suffix_share"), rate.alias("suffix_blocked")]
+
+    own = told.select("suffix", "fold", F.col("known").alias("k"), F.coalesce("bad", F.lit(0.0)).alias("b"))
+    unseen = suffixes.join(own, "suffix").select("suffix", "fold", *statistics(F.col("n"), F.col("known") - F.col("k"), F.col("bad") - F.col("b")))
+    suffixes = suffixes.select("suffix", *statistics(F.col("n"), F.col("known"), F.col("bad")))
     order = F.xxhash64("url", "label")
-    unknown = {"suffix_share": 0.0, "suffix_blocked": 0.5}
     distinct = known.select("url", "label").distinct()
 
     def least(df: DataFrame, label: float, n: int) -> DataFrame:
@@ -99,16 +117,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
     # max_train of each class are enough to tell how many of each to take
     picked = cut(least(distinct, 0.0, max_train).union(least(distinct, 1.0, max_train)))
     found = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
-    half, allowed, blocked = max(1, max_train // 2), found.get(0.0, 0), found.get(1.0, 0)
-    blocked = min(blocked, max(half, max_train - allowed))
-    allowed = min(allowed, max(half, max_train - blocked))
-    classes = {label: n for label, n in ((0.0, allowed), (1.0, blocked)) if n}
-    train = featured(least(picked, 0.0, allowed).union(least(picked, 1.0, blocked)))
-    train = train.join(suffixes, "suffix", "left").na.fill(unknown)
+    half, good, bad = max(1, max_train // 2), found.get(0.0, 0), found.get(1.0, 0)
+    bad = min(bad, max(half, max_train - good))
+    good = min(good, max(half, max_train - bad))
+    classes = {label: n for label, n in ((0.0, good), (1.0, bad)) if n}
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    train = cut(assembler.transform(train).select("features", "label"))
+    train = featured(least(picked, 0.0, good).union(least(picked, 1.0, bad))).join(unseen, ["suffix", "fold"])
+    train = cut(assembler.transform(train).select("features", "label").coalesce(TRAIN_PARTS)) if len(classes) == 2 else picked
     train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / classes.get(1.0, 1)).otherwise(0.5 / classes.get(0.0, 1)) * sum(classes.values()))
-    rows = rows.join(suffixes, "suffix", "left").na.fill(unknown)
+    rows = rows.join(suffixes, "suffix")
     if len(classes) == 2:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=11).fit(train)
         rows = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
