@@ -24,7 +24,7 @@ def test_query(spark, views, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 1
+    assert e.entry(spark).columns == ["l0", "users", "cnt"]
     assert set(queries.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
 
@@ -37,6 +37,23 @@ def test_conditions_reach_the_scan(spark):
     assert "props" not in schema and "value" not in schema
 
 
+def pushed(df):
+    """The PushedFilters of each scan in a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("PushedFilters: ")[1].split("ReadSchema")[0] for x in plan.split("\n") if "PushedFilters" in x]
+
+
+def test_days_of_outer_joins_and_keys_reach_the_scan(spark):
+    found = [x for x in pushed(queries.q29_events_with_property(spark, SF)) if "value" in x]
+    assert len(found) == 1 and "GreaterThanOrEqual(ts" in found[0] and "LessThan(ts" in found[0]
+    found = pushed(queries.q28_row_key_range(spark, SF))
+    assert len(found) == 1 and "GreaterThanOrEqual(ts" in found[0] and "LessThan(ts" in found[0]
+
+
+def test_patterns_of_names_reach_the_scan(spark):
+    assert "StringStartsWith(event_type,v)" in pushed(queries.q22_catalogue(spark, SF))[0]
+
+
 def test_days_of_a_statement_reach_the_scan(spark):
     plan = queries.q08_daily_actives(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan

@@ -71,6 +71,13 @@ def bucketed(uid: Column | str) -> Column:
     return F.shiftleft(hash_bucket(uid), 32).bitwiseOR(_col(uid).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def in_buckets(uid: Column | str, start_bucket: int = 0, count: int = BUCKETS) -> Column:
+    """Whether an id without a bucket hashes to one of ``count`` buckets: a comparison of texts, with nothing converted."""
+    digest, end = F.md5(_col(uid).cast("string").cast("binary")), start_bucket + count
+    low = digest >= f"{start_bucket:02x}"
+    return low if end >= BUCKETS else low & (digest < f"{end:02x}")
+
+
 def uid_range(start_bucket: int = 0, count: int = BUCKETS) -> tuple[int, int]:
     """[start, end) of the ids in ``count`` buckets; the end is at most MAX_UID."""
     end = start_bucket + count
@@ -78,8 +85,12 @@ def uid_range(start_bucket: int = 0, count: int = BUCKETS) -> tuple[int, int]:
 
 
 def prefix_end(prefix: str) -> str:
-    """The least string after all that begin with the prefix."""
-    return prefix[:-1] + chr(ord(prefix[-1]) + 1)
+    """The least string, in the order of code points, after all that begin with the prefix."""
+    kept = prefix.rstrip(chr(0x10FFFF))
+    if not kept:
+        raise ValueError("nothing comes after every string with this prefix")
+    after = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if after == 0xD800 else after)  # surrogates are no characters
 
 
 def row_key(day: Column | str, event: Column | str, uid: Column | str) -> Column:
@@ -106,6 +117,19 @@ def with_uid(key: Column | str, uid: Column | str) -> Column:
     return row_key(key_day(key), key_event(key), uid)
 
 
+def days_of(start: bytes, end: bytes) -> tuple[str | None, str | None]:
+    """The first and last day that keys from start up to end can have; None where a bound doesn't begin with a day."""
+    from .times import plain_day
+
+    def day(key: bytes) -> str | None:
+        try:
+            return plain_day(key[:_DAY].decode())
+        except ValueError:  # also what isn't text
+            return None
+
+    return day(start), day(end)
+
+
 def key_bounds(first_day: str, last_day: str, events: list[str], start_bucket: int = 0, count: int = BUCKETS) -> tuple[bytes, bytes]:
     """First and last row key of days, events (in any order) and buckets."""
     from .times import plain_day

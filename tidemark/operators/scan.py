@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, times
-from .predicates import ValueFilter, all_of
+from .predicates import ValueFilter, all_of, by_key
 
 MODES = ("both", "hot", "cold")
 
@@ -23,7 +23,8 @@ class EventTable:
     """Where a logical event table keeps its columns.
 
     rows: the stored rows. ts: timestamp without zone, in UTC. event: the first level, or a dotted name if
-    ``levels`` is None. levels: expressions of l1 and on. day: a stored yyyyMMdd column, if there is one.
+    ``levels`` is None. levels: expressions of l1 and on. day, bucket: stored columns with the day as yyyyMMdd and the
+    bucket of the id's hash, if there are any.
     """
 
     rows: DataFrame
@@ -34,6 +35,7 @@ class EventTable:
     levels: Sequence[Column] | None = None
     day: str | None = None
     id: str | None = None
+    bucket: str | None = None
     _view: DataFrame | None = field(default=None, repr=False)
 
     def view(self, rows: DataFrame | None = None) -> DataFrame:
@@ -57,11 +59,11 @@ class EventTable:
         return [*([ts >= F.lit(times.day_start(first)).cast("timestamp_ntz")] if first else []), *([ts < F.lit(times.day_start(last, 1)).cast("timestamp_ntz")] if last else [])]
 
 
-def scan(table: EventTable, *, first: str | None = None, last: str | None = None, days: Sequence[str] | None = None, levels: dict[str, str | Sequence[str]] | None = None, uids: tuple[int, int] | None = None, value: ValueFilter | None = None, ttl_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
+def scan(table: EventTable, *, first: str | None = None, last: str | None = None, days: Sequence[str] | None = None, levels: dict[str, str | Sequence[str]] | None = None, uids: tuple[int, int] | None = None, buckets: tuple[int, int] | None = None, value: ValueFilter | None = None, ttl_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
     """Rows of the event view that meet all conditions.
 
     first, last: a range of days. days: single days. levels: {"l0": "visit"} or {"l0": ["visit", "view"]}.
-    uids: [start, end). ttl_ms: rows older than this at now_ms are left out.
+    uids: [start, end). buckets: (first, number) of the hash buckets of ids. ttl_ms: rows older than this at now_ms are left out.
     """
     stored = table.within(first, last)
     if days is not None:
@@ -69,6 +71,9 @@ def scan(table: EventTable, *, first: str | None = None, last: str | None = None
         stored.append(F.col(table.day).isin([times.plain_day(d) for d in days]) if table.day else _any(every))
     if uids is not None:
         stored.append((F.col(table.uid) >= uids[0]) & (F.col(table.uid) < uids[1]))
+    if buckets is not None:
+        own = F.col(table.bucket) if table.bucket else None
+        stored.append(keys.in_buckets(table.uid, *buckets) if own is None else (own >= buckets[0]) & (own < sum(buckets)))
     if value is not None and value.op != "ALL":
         stored.append(value.on(table.value))
     if ttl_ms is not None:
@@ -84,6 +89,17 @@ def scan(table: EventTable, *, first: str | None = None, last: str | None = None
     return rows.where(all_of([_among(F.col(k), v) for k, v in wanted.items()])) if wanted else rows
 
 
+def scan_keys(table: EventTable, start: bytes, end: bytes, event: Column | None = None, **conditions) -> DataFrame:
+    """Rows whose row key is in [start, end), with the key as ``rowkey``. event: the name in the key; by default that of the levels.
+
+    The days of the bounds reach the scan, so only theirs are read; the rest of the key is compared row by row.
+    """
+    first, last = keys.days_of(start, end)
+    rows = scan(table, first=first, last=last, **conditions)
+    name = keys.event_name(*[f"l{n}" for n in range(keys.LEVELS)]) if event is None else event
+    return by_key(rows.withColumn("rowkey", keys.row_key("date", name, "uid")), start, end)
+
+
 def _among(column: Column, given: str | Sequence[str]) -> Column:
     return column == given if isinstance(given, str) else column.isin(sorted(set(given)))
 

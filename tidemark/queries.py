@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys
-from .operators import catalogue, predicates, relational
-from .operators.predicates import ValueFilter
-from .operators.scan import EventTable, merged, scan
+from .operators import catalogue, relational
+from .operators.predicates import ValueFilter, key_filter
+from .operators.scan import EventTable, merged, scan, scan_keys
+from .operators.properties import pivoted
 from .plans.dialect import Engine
 from .plans.logical import Runner
+from .sources import cells
 from .sources import events as tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,14 +115,11 @@ def q12_sum_distinct(spark, sf_dir):
     return relational.collapse(relational.distinct_in(scan(_events(spark, sf_dir)), ["l0"], "uid"), {"l0": F.col("l0")}, {"s": F.sum("uid")})
 
 
-_RETAINED = "SELECT count(DISTINCT e.uid) AS retained FROM p_reg r JOIN deu e ON r.uid = e.uid WHERE r.val >= 20240101000000 AND r.val < 20240102000000 AND e.l0 = 'view' AND e.date = '20240102'"
-
-
-@query(_RETAINED, _DEU, _REG)
-def q13_retention(spark, sf_dir):
+@query("SELECT e.l0 AS l0, count(DISTINCT e.uid) AS users, count(*) AS cnt FROM deu e JOIN p_reg r ON e.uid = r.uid WHERE r.val < 20240108000000 AND e.date >= '20240115' AND e.date <= '20240121' AND e.value > 10 GROUP BY 1", _DEU, _REG)
+def q13_returning(spark, sf_dir):
     return _engine(spark, sf_dir).frame(
-        "Select count(distinct test-app_deu.uid) as retained FROM (fix_test-app INNER JOIN test-app_deu ON fix_test-app.uid=test-app_deu.uid) "
-        "WHERE fix_test-app.register_time>=20240101000000 and fix_test-app.register_time<20240102000000 and test-app_deu.l0='view' and test-app_deu.date='20240102'"
+        "select test-app_deu.l0 as l0, count(distinct test-app_deu.uid) as users, count(1) as cnt from test-app_deu inner join fix_test-app on test-app_deu.uid = fix_test-app.uid "
+        "where fix_test-app.register_time < 20240108000000 and test-app_deu.date >= '20240115' and test-app_deu.date <= '20240121' and test-app_deu.value > 10 group by test-app_deu.l0"
     )
 
 
@@ -186,9 +185,7 @@ def q20_key_filter(spark, sf_dir):
 
 @query("SELECT count(*) AS cnt FROM (SELECT CAST('0x' || substr(md5(CAST(uid AS VARCHAR)), 1, 2) AS BIGINT) AS b FROM deu) WHERE b >= 0 AND b < 128", _DEU)
 def q21_buckets(spark, sf_dir):
-    start, end = keys.uid_range(0, 128)
-    uid = keys.bucketed("uid")
-    return scan(_events(spark, sf_dir)).where((uid >= start) & (uid < end)).agg(F.count(F.lit(1)).alias("cnt"))
+    return scan(_events(spark, sf_dir), buckets=(0, 128)).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("SELECT DISTINCT l0 || '.' || CASE WHEN l1 = '*' THEN '' ELSE l1 || '.' END AS event FROM deu WHERE regexp_full_match(l0, 'v.*')", _DEU)
@@ -226,9 +223,8 @@ def q27_intersect(spark, sf_dir):
 
 @query("SELECT count(*) AS cnt FROM (SELECT strftime(ts + INTERVAL 8 HOURS, '%Y%m%d') || event_type || '.' AS k, user_id AS uid FROM events) WHERE k >= '20240105click.' AND k < '20240105view.'")
 def q28_row_key_range(spark, sf_dir):
-    rows = scan(_events(spark, sf_dir))
-    keyed = rows.select(keys.row_key("date", F.concat("l0", F.lit(".")), "uid").alias("rowkey"))
-    return predicates.by_key(keyed, b"20240105click.", b"20240105view.").agg(F.count(F.lit(1)).alias("cnt"))
+    found = scan_keys(_events(spark, sf_dir), b"20240105click.", b"20240105view.", F.concat("l0", F.lit(".")))
+    return found.agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("SELECT e.uid AS uid, e.l0 AS l0, s.val AS segment FROM deu e LEFT JOIN p_seg s ON e.uid = s.uid WHERE e.date = '20240110' AND e.value > 50", _DEU, _SEG)
@@ -239,3 +235,140 @@ def q29_events_with_property(spark, sf_dir):
 @query(f"SELECT {_bucket(5)} AS segmentvalue, count(*) AS cnt FROM deu GROUP BY 1", _DEU)
 def q30_all_buckets(spark, sf_dir):
     return relational.collapse_buckets(scan(_events(spark, sf_dir)), "ts", 5, {"cnt": F.count(F.lit(0))})
+
+
+@query("SELECT uid, l0, l1, value FROM deu WHERE l0 IN ('view', 'signup') AND l1 LIKE '1%' AND value IS NOT NULL AND uid <> 4 AND value BETWEEN 5 AND 60", _DEU)
+def q31_in_like_null(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select uid, l0, l1, value from test-app_deu where l0 in ('view', 'signup') and l1 like '1%' and value is not null and uid <> 4 and value between 5 and 60")
+
+
+@query("SELECT l0, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big, count(*) AS n FROM deu WHERE uid IN (SELECT uid FROM p_seg WHERE val = 'BUILDING') GROUP BY 1", _DEU, _SEG)
+def q32_case_and_subquery(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select l0, sum(case when value > 50 then 1 else 0 end) as big, count(1) as n from test-app_deu where uid in (select uid from fix_test-app where segment = 'BUILDING') group by l0")
+
+
+@query("SELECT uid FROM deu WHERE l0 = 'signup' UNION SELECT uid FROM p_nat WHERE val = 3", _DEU, _NAT)
+def q33_union(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select uid from test-app_deu where l0 = 'signup' union select uid from fix_test-app where nation = 3")
+
+
+@query("SELECT uid FROM p_seg EXCEPT SELECT uid FROM deu WHERE l0 = 'view'", _DEU, _SEG)
+def q34_except(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select fix_test-app.uid from fix_test-app where fix_test-app.segment is not null except select test-app_deu.uid from test-app_deu where test-app_deu.l0 = 'view'")
+
+
+@query("SELECT uid, a.val AS segment, b.val AS nation FROM p_seg a JOIN p_nat b USING (uid) WHERE b.val < 5", _SEG, _NAT)
+def q35_natural_join(spark, sf_dir):
+    _, store = tables.stores(spark, sf_dir)
+    return relational.join(store.one("segment"), store.one("nation", F.col("nation") < 5), kind="NATURAL")
+
+
+_NAMED = "named AS (SELECT *, l0 || '.' || CASE WHEN l1 = '*' THEN '' ELSE l1 || '.' END AS event, CAST('0x' || substr(md5(CAST(uid AS VARCHAR)), 1, 2) AS BIGINT) AS bucket FROM deu)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with the event's dotted name and the id of five bytes, as the row key has them."""
+    rows = scan(_events(spark, sf_dir))
+    return rows.select("date", "ts", "value", F.col("uid").alias("own"), keys.bucketed("uid").alias("uid"), keys.event_name("l0", "l1").alias("event"))
+
+
+@query("SELECT date, event, uid FROM named WHERE date IN ('20240103', '20240109') AND event IN ('view.', 'click.7.', 'signup.2.') AND bucket >= 16 AND bucket < 144", _DEU, _NAMED)
+def q36_row_key_filter(spark, sf_dir):
+    wanted = key_filter(["view.", "click.7.", "signup.2."], ["20240103", "2024-01-09"], keys.uid_range(16, 128))
+    return _named(spark, sf_dir).where(wanted).select("date", "event", F.col("own").alias("uid"))
+
+
+@query("SELECT event_id, event FROM (SELECT *, date || event || chr(255) AS k FROM named) WHERE k >= '20240104click.3.' || chr(255) AND k < '20240106view.' || chr(255)", _DEU, _NAMED)
+def q37_key_bounds(spark, sf_dir):
+    start, _ = keys.key_bounds("20240104", "20240104", ["click.3."])
+    end = keys.key_bounds("2024-01-06", "20240106", ["view.", "click.3."])[1]
+    found = scan_keys(_events(spark, sf_dir), start, end[:-5])  # up to the first id of the last event
+    return found.select("event_id", keys.key_event("rowkey").alias("event"))
+
+
+@query("SELECT event, row_number() OVER (ORDER BY event || chr(255)) AS place FROM (SELECT DISTINCT event FROM named)", _DEU, _NAMED)
+def q38_event_order(spark, sf_dir):
+    names = catalogue.build(scan(_events(spark, sf_dir)), "test-app")
+    found = catalogue.ordered(names, "test-app", ["*"])
+    # a catalogue is small; rows are numbered over all of it
+    return found.select("event", F.row_number().over(Window.orderBy(keys.sort_key("event"))).cast("long").alias("place"))
+
+
+@query("SELECT event, l0, l1, '*' AS l2, '*' AS l3, '*' AS l4, CASE WHEN l1 = '*' THEN 1 ELSE 2 END AS n FROM (SELECT DISTINCT event, l0, l1 FROM named)", _DEU, _NAMED)
+def q39_levels(spark, sf_dir):
+    names = _named(spark, sf_dir).select("event").distinct()
+    return names.select("event", *keys.levels("event"), F.size(keys.all_levels("event")).alias("n"))
+
+
+@query("SELECT CAST(uid AS INTEGER) AS uid, CAST(floor(value) AS BIGINT) AS value, l0, l1, l2, ts, date, event, bucket FROM named WHERE date >= '20240102' AND date <= '20240104'", _DEU, _NAMED)
+def q40_cells(spark, sf_dir):
+    rows = cells.to_cells(_named(spark, sf_dir).withColumn("value", F.floor("value")))
+    view = cells.to_view(cells.between_days(rows, "20240102", "2024-01-04"))
+    return view.select("uid", "value", "l0", "l1", "l2", "ts", "date", "event", keys.bucket_of("full_uid").cast("long").alias("bucket"))
+
+
+@query("SELECT event_id, uid, date, row_number() OVER (ORDER BY event_id) AS place FROM deu", _DEU)
+def q41_sides_that_overlap(spark, sf_dir):
+    rows = scan(_events(spark, sf_dir)).select("event_id", "uid", "date")
+    both = merged(rows.where("event_id % 3 < 2"), rows.where("event_id % 3 > 0"), key=["event_id"])
+    return both.withColumn("place", F.row_number().over(Window.orderBy("event_id")).cast("long"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def q42_expiry(spark, sf_dir):
+    day = 86_400_000
+    return scan(_events(spark, sf_dir), ttl_ms=5 * day, now_ms=1706140800000).select("event_id")  # 2024-01-25 00:00 UTC
+
+
+@query("SELECT l0, cnt FROM (SELECT l0, count(*) AS cnt FROM deu GROUP BY 1) ORDER BY l0 LIMIT 2 OFFSET 1", _DEU)
+def q43_offset(spark, sf_dir):
+    counts = relational.collapse(scan(_events(spark, sf_dir)), {"l0": F.col("l0")}, {"cnt": F.count(F.lit(1))})
+    return relational.rows_between(relational.order(counts, ("l0", "asc")), 1, 3)
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 8 UNION ALL SELECT DISTINCT n_name, 'any' FROM nation")
+def q44_join_union_plan(spark, sf_dir):
+    scans = [{"op": "scan", "@id": k, "ref": k, "storageengine": "parquet", "selection": {"path": f"{sf_dir}/{k}.parquet"}} for k in ("nation", "region")]
+    steps = [
+        {"op": "join", "@id": "pairs", "left": "nation", "right": "region", "type": "inner", "conditions": [{"relationship": "==", "left": "nation.n_regionkey", "right": "region.r_regionkey"}]},
+        {"op": "filter", "@id": "some", "input": "pairs", "expr": "nation.n_nationkey >= 8"},
+        {"op": "project", "@id": "one", "input": "some", "projections": [{"ref": "output.n_name", "expr": "nation.n_name"}, {"ref": "output.r_name", "expr": "region.r_name"}]},
+        {"op": "distinct", "@id": "names", "input": "nation", "ref": "nation.n_name"},
+        {"op": "project", "@id": "two", "input": "names", "projections": [{"ref": "n_name", "expr": "nation.n_name"}, {"ref": "r_name", "expr": "'any'"}]},
+        {"op": "union", "inputs": ["one", "two"]},
+    ]
+    return Runner(spark).run({"query": [*scans, *steps]})
+
+
+@query("SELECT p_size, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
+def q45_distinct_in_segment_plan(spark, sf_dir):
+    return _plan(
+        spark, sf_dir,
+        {"op": "transform", "transforms": [{"ref": "p_size", "expr": "p.p_size"}]},
+        {"op": "segment", "ref": "size", "exprs": ["p.p_size"]},
+        {"op": "distinct", "within": "size", "ref": "p.p_brand"},
+        {"op": "collapsingaggregate", "within": "size", "carryovers": ["p_size"], "aggregations": [{"ref": "brands", "expr": "count(p.p_brand)"}]},
+    )
+
+
+@query("SELECT count(*) AS cnt, count(DISTINCT event) AS names FROM named WHERE starts_with(event, 'click.1')", _DEU, _NAMED)
+def q46_prefix(spark, sf_dir):
+    found = _named(spark, sf_dir).where((F.col("event") >= "click.1") & (F.col("event") < keys.prefix_end("click.1")))
+    return found.agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("event").alias("names"))
+
+
+@query(f"SELECT {_bucket(5)} AS segmentvalue, count(*) AS cnt FROM deu WHERE date = '20240111' AND l0 <> 'view' GROUP BY 1", _DEU)
+def q47_five_minutes_of_a_statement(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select count(0) as cnt from test-app_deu where date = '20240111' and l0 <> 'view' group by min5(ts)")
+
+
+@query("SELECT uid, max(CASE WHEN property = 'segment' THEN val END) AS segment, max(CASE WHEN property = 'nation' THEN val END) AS nation FROM (SELECT uid, 'segment' AS property, val FROM p_seg UNION ALL SELECT uid, 'nation', CAST(val AS VARCHAR) FROM p_nat WHERE val > 9) GROUP BY 1", _SEG, _NAT)
+def q48_properties_of_one_table(spark, sf_dir):
+    _, store = tables.stores(spark, sf_dir)
+    one = lambda name, rows: rows.select("uid", F.lit(name).alias("property"), F.col(name).cast("string").alias("val"))
+    return pivoted(one("segment", store.one("segment")).union(one("nation", store.one("nation", F.col("nation") > 9))), ["segment", "nation"])
+
+
+@query("SELECT l0, count(*) AS cnt FROM deu WHERE date = '20240106' AND (l0 = 'click' OR value > 90) GROUP BY 1", _DEU)
+def q49_either_and_both(spark, sf_dir):
+    return _engine(spark, sf_dir).frame("select l0, count(1) as cnt from test-app_deu where date = '20240106' and (l0 = 'click' or value > 90) group by l0")

@@ -33,13 +33,10 @@ def to_cells(events: DataFrame) -> DataFrame:
 
 
 def between_days(cells: DataFrame, first: str, last: str, l0: str | None = None) -> DataFrame:
-    """Cells of days first to last, and of events below one first level: a key range per day, or one in all without a level."""
+    """Cells of days first to last, and of events below one first level: one key range, and the level compared inside the key."""
     first, last = times.plain_day(first), times.plain_day(last)
+    found = by_key(cells, first.encode(), keys.prefix_end(last).encode())
     if l0 is None:
-        return by_key(cells, first.encode(), keys.prefix_end(last).encode())
-    days = [r[0] for r in cells.sparkSession.sql(f"select explode(sequence(to_date('{first}', 'yyyyMMdd'), to_date('{last}', 'yyyyMMdd'))) d").select(F.date_format("d", "yyyyMMdd")).collect()] if first <= last else []
-    found = F.lit(False)
-    for day in days:
-        start = day + l0 + "."  # the dot ends the level, so longer names don't match
-        found = found | ((F.col("rowkey") >= F.lit(bytearray(start.encode()))) & (F.col("rowkey") < F.lit(bytearray(keys.prefix_end(start).encode()))))
-    return cells.where(found)
+        return found
+    start = f"{l0}.".encode()  # the dot ends the level, so longer names don't match
+    return found.where(F.substring("rowkey", 9, len(start)) == F.lit(bytearray(start)))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..operators.properties import PropertyStore
 from ..operators.scan import EventTable
 
 
-def write_events(view: DataFrame, path: str, mode: str = "append", files_per_day: int = 8) -> None:
-    """A view with date, l0 and uid. A day is ``files_per_day`` ranges of (l0, uid), so a hot event is several files."""
-    salted = view.repartition("date", F.pmod(F.xxhash64("uid"), F.lit(files_per_day)))
-    salted.sortWithinPartitions("date", "l0", "uid").write.mode(mode).partitionBy("date").parquet(path)
+def write_events(view: DataFrame, path: str, mode: str = "append", parts: int | None = None) -> None:
+    """A view with date, l0, uid and ts, and the bucket of the id's hash. Files are ranges of (date, l0, uid), as many as the session's
+    shuffles have partitions or ``parts``, so a hot event or day is several files, and files' statistics tell days, events and users apart."""
+    order = ["date", "l0", "uid", "ts"]
+    rows = view.withColumn("bucket", keys.hash_bucket("uid").cast("int"))
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +25,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("date", F.col("date").cast("string"))
 
 
+def stored_table(spark: SparkSession, path: str) -> EventTable:
+    """The events that write_events wrote, for scans that read by day and bucket."""
+    return EventTable(read_events(spark, path).withColumn("instant", F.timestamp_millis("ts")), ts="instant", event="l0", levels=[F.col(f"l{n}") for n in range(1, keys.LEVELS)], day="date", bucket="bucket")
+
+
 def from_table(rows: DataFrame) -> EventTable:
     """A table with event_id, ts, user_id, event_type, value and props, {"k": n}. Events with an even id have a second level, k."""
     k = F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).otherwise(F.lit("*"))
