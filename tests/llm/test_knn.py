@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import knn
@@ -33,26 +34,45 @@ def test_against_brute_force(spark):
     assert ask(spark, rows) == brute(rows)
 
 
-def test_blocks_and_pruning(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 64)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
+@pytest.mark.parametrize("block,query_block", [(64, 4), (7, 1), (2048, 2048)])
+def test_blocks_and_pruning(spark, block, query_block):
     r = np.random.default_rng(2)
     centres = r.normal(0, 3, (6, 8))
     rows = [(i, (centres[i % 6] + r.normal(0, 0.05, 8)).tolist()) for i in range(900)]
-    assert ask(spark, rows) == brute(rows)
+    report = {}
+    assert ask(spark, rows, block=block, query_block=query_block, report=report) == brute(rows)
+    if block < 900:  # vectors in clusters: most blocks are never looked at
+        assert report["solved"] < 0.5 * report["all"]
+
+
+def test_a_query_sees_every_bin_that_can_matter(spark):
+    """Vectors without clusters, queries whose best are far from them, and one id that very many rows repeat."""
+    r = np.random.default_rng(5)
+    rows = [(i, (r.normal(0, 1, 4) * r.choice([0.1, 1, 10])).tolist()) for i in range(400)] + [(7, [9.0, 9.0, 9.0, 9.0])] * 30
+    assert ask(spark, rows, block=20, query_block=3) == brute(rows)
+
+
+def test_a_repeated_query(spark):
+    """Copies of a query are no candidates, however many there are, and don't hide others."""
+    rows = [(50, [100.0, 1.0])] * 10 + [(i, [1.0, float(i)]) for i in range(1, 30)]
+    assert ask(spark, rows, block=8) == brute(rows[9:])
 
 
-def test_bounds_leave_what_is_needed():
+def test_bins_and_bounds():
     r = np.random.default_rng(3)
     centres = r.normal(0, 5, (12, 4)).round()
     x = np.concatenate([c + r.normal(0, 0.1, (30, 4)) for c in centres])
-    g, d = knn._nearest(x, centres)
-    groups = [{"g": k, "n": 30, "radius": d[g == k].max(), "norm": np.sqrt((x[g == k] ** 2).sum(1)).max(), "near": np.sort(d[g == k])[:6].tolist()} for k in range(12)]
-    pairs = knn.needed(centres, groups, centres, groups, 5)
-    assert len(pairs) < 144  # some are pruned, and never one that is needed
-    for i, q in enumerate(x):
-        best = np.argsort(-(x @ q))[:6]
-        assert {(g[i], g[j]) for j in best} <= set(pairs)
+    pivots = knn.Pivots(centres.astype(int).tolist())
+    g, d = pivots.nearest(x)
+    groups = [{"g": k, "n": 30, "radius": d[g == k].max(), "norm": np.sqrt((x[g == k] ** 2).sum(1)).max()} for k in range(12)]
+    of = knn.bins(groups, pivots, 60)
+    assert sorted(of) == list(range(12)) and len(set(of.values())) == 6
+    scores = np.sort(x @ x.T, axis=1)[:, ::-1]
+    batch = pa.RecordBatch.from_pydict({"query_id": pa.array(range(len(x))), "v": pa.array(x.tolist()), "bin": pa.array([of[k] for k in g.tolist()], pa.int32()), "least": pa.array(scores[:, 5])})
+    found = next(knn._targets(pivots, groups, of)(batch)).column("bins").to_pylist()
+    assert sum(map(len, found)) < 0.5 * 5 * len(x)  # most are pruned, and never one that is needed
+    for i in range(len(x)):
+        assert {of[k] for k in g[np.argsort(-(x @ x[i]))[:6]].tolist()} <= {*found[i], of[int(g[i])]}
 
 
 def test_few_rows_and_large_numbers(spark):
