@@ -10,11 +10,12 @@ guaranteed for them, so they are looked up by the hash of all their words.
 
 The benchmark's index goes to every task while it is smaller than ``max_index_bytes``; each
 document is then settled where it is read, with no shuffle. A larger benchmark meets the
-documents' minima in a shuffled join instead.
+documents' fingerprints in a shuffled join instead, and the windows around those that meet are compared.
 
 Defined results: null, empty and wordless texts have no words and no hits; an item without
 words, or with a null id or text, occurs nowhere; repeated items count by item_id, once; rows
-of the documents that repeat give repeated rows; other columns of both tables are ignored.
+of the documents that repeat give repeated rows; a very long text is expanded alone, in memory of some times its
+size; other columns of both tables are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .frames import map_arrow
+from .frames import cut, hot_join, map_arrow
 
 SPAN, K = 8, 5
 WINDOW = SPAN - K + 1
@@ -216,62 +217,72 @@ def _keys(doc_id: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc_id, "text"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
 
 
+_RUNS = "id long, k2 long, key long, m int, runs array<struct<start int, window long>>"
+
+
+def _fingerprints(batch: pa.RecordBatch, short: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """The k-grams that winnowing selects, and of the windows that selected each the place and hash. A span of m words, for
+    the lengths in ``short``, is its own fingerprint; None: of texts of fewer words than SPAN the whole."""
+    for c in T.chunks(batch.column("text")):
+        w = T.words(c)
+        n, row = len(w.hash), w.row()
+        key = T.grams(w.hash, K)
+        at = np.flatnonzero(T.whole(w.first, n, SPAN))
+        best = at.copy()
+        for j in range(1, WINDOW):
+            best = np.where(key[at + j] < key[best], at + j, best) if len(at) else best
+        found = [(best, key, at, T.grams(w.hash, SPAN), SPAN)]
+        for m in range(1, SPAN) if short is None else short:
+            p = np.flatnonzero(T.whole(w.first, n, m)[: max(0, n - m + 1)])
+            if short is None:
+                p = p[w.counts[row[p]] == m]
+            own = T.grams(w.hash, m)
+            found.append((p, own, p, T.mix(own), m))
+        ids = [batch.column(x).slice(c.low, c.high - c.low) for x in ("k", "k2")]
+        for best, key, at, window, m in found:
+            if not len(at):
+                continue
+            order = np.argsort(best, kind="stable")
+            best, at = best[order], at[order]
+            cuts = np.flatnonzero(np.diff(best, prepend=-1))
+            r = row[best[cuts]]
+            runs = pa.StructArray.from_arrays([pa.array((at - w.first[row[at]]).astype(np.int32)), pa.array(window[at].view(np.int64))], ["start", "window"])
+            yield pa.RecordBatch.from_pydict({"id": ids[0].take(pa.array(r)), "k2": ids[1].take(pa.array(r)), "key": pa.array(key[best[cuts]].view(np.int64)), "m": pa.array(np.full(len(r), m, np.int32)), "runs": pa.ListArray.from_arrays(pa.array(np.append(cuts, len(at)).astype(np.int32)), runs)})
+
+
 def _by_join(docs: DataFrame, items: DataFrame, min_items: int, key: bool = False) -> DataFrame:
-    """As decontaminate, with the benchmark's minima joined in a shuffle. Copies of a row are settled once. key: with _keys of each row."""
+    """As decontaminate, with fingerprints joined in a shuffle. Copies of a row are settled once. key: with _keys of each row.
+
+    First the documents' fingerprints meet those of the benchmark, each as often as it comes, then the windows around those
+    that are left meet the benchmark's windows, whose items are one row. So a k-gram that is common on both sides
+    multiplies nothing, and fingerprints and windows of very many documents stay where they are.
+    """
     k, k2 = _keys(F.col("doc_id"))
     docs = docs.withColumns({"k": k, "k2": k2})
-    context = "id long, k2 long, n_words long, key long, m int, at long, near binary, before int, after int"
-
-    def minima(batch: pa.RecordBatch, short: list[int], own: bool) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batch.column("text")):
-            w = T.words(c)
-            n, row, counts = len(w.hash), w.row(), w.counts
-            at, key = _minima(w.hash, w.first)
-            found = [(at, key, SPAN)]
-            for m in range(1, SPAN) if own else short:
-                ok = T.whole(w.first, n, m)[: max(0, n - m + 1)]
-                p = np.flatnonzero(ok & (counts[row[: len(ok)]] == m)) if own else np.flatnonzero(ok)
-                found.append((p, T.grams(w.hash, m)[p], m))
-            for p, key, m in found:
-                if not len(p):
-                    continue
-                r = row[p]
-                before, after = np.minimum(p - w.first[r], REACH), np.minimum(w.first[r + 1] - p, K + REACH)
-                near = [w.hash[x - b : x + a].tobytes() for x, b, a in zip(p, before, after, strict=True)] if m == SPAN else [b""] * len(p)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("k").slice(c.low, c.high - c.low).take(pa.array(r)), "k2": batch.column("k2").slice(c.low, c.high - c.low).take(pa.array(r)), "n_words": pa.array(counts[r]), "key": pa.array(key.view(np.int64)), "m": pa.array(np.full(len(p), m, np.int32)), "at": pa.array(p - w.first[r]), "near": pa.array(near, pa.binary()), "before": pa.array(before.astype(np.int32)), "after": pa.array(after.astype(np.int32))})
-
     marked = items.where("item_id is not null and text is not null").select(F.col("item_id").alias("k"), F.lit(0).cast("long").alias("k2"), "text")
-    tests = map_arrow(marked, lambda b: minima(b, [], True), context).selectExpr("id as item_id", "key", "m", "near as i_near", "before as i_before", "after as i_after")
+    tests = map_arrow(marked, lambda b: _fingerprints(b, None), _RUNS).select("id", "key", "m", F.explode("runs").alias("r"))
+    tests = cut(tests.groupBy("key", "m", F.col("r.window").alias("window")).agg(F.collect_set("id").alias("items")))
     short = sorted(r["m"] for r in tests.select("m").distinct().collect() if r["m"] < SPAN)  # at most SPAN - 1 numbers
     once = docs.dropDuplicates(["k", "k2"])
-    met = map_arrow(once, lambda b: minima(b, short, False), context).join(tests, ["key", "m"])
-
-    def extend(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for x in batch.to_pylist():
-            left = right = 0
-            if x["m"] == SPAN:
-                d, i, b, c = np.frombuffer(x["near"], np.uint64), np.frombuffer(x["i_near"], np.uint64), x["before"], x["i_before"]
-                while left < min(b, c) and d[b - left - 1] == i[c - left - 1]:
-                    left += 1
-                while right < min(x["after"], x["i_after"]) - K and d[b + K + right] == i[c + K + right]:
-                    right += 1
-                if left + K + right < SPAN:
-                    continue
-            out.append((x["id"], x["k2"], x["item_id"], x["at"] - left, x["at"] + (K + right if x["m"] == SPAN else x["m"])))
-        yield pa.RecordBatch.from_pydict(dict(zip(("k", "k2", "item_id", "a", "b"), (pa.array(v, pa.int64()) for v in (zip(*out, strict=True) if out else [[]] * 5)), strict=True)))
-
-    spans = map_arrow(met, extend, "k long, k2 long, item_id long, a long, b long").groupBy("k", "k2").agg(F.collect_set("item_id").alias("items"), F.collect_set(F.struct("a", "b")).alias("spans"))
+    places = cut(map_arrow(once, lambda b: _fingerprints(b, short), _RUNS))
+    seen = cut(places.groupBy("key", "m").agg(F.count(F.lit(1)).alias("n")).join(tests.select("key", "m").distinct(), ["key", "m"]))
+    met = hot_join(places, seen, ["key", "m"], "n").select("id", "k2", "key", "m", F.explode("runs").alias("r"))
+    met = cut(met.select("id", "k2", "key", "m", "r.start", "r.window"))
+    names = ["key", "m", "window"]
+    alike = cut(met.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(tests, names))
+    hits = hot_join(met, alike, names, "n").select(F.col("id").alias("k"), "k2", "start", "m", "items")
+    spans = hits.groupBy("k", "k2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("start", "m")).alias("spans"))
 
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batch.column("text")):
             w = T.words(c)
             rows = batch.slice(c.low, c.high - c.low)
             hits, pairs = np.zeros(len(rows), np.int64), []
-            for r, (items, found) in enumerate(zip(rows.column("items").to_pylist(), rows.column("spans").to_pylist(), strict=True)):
-                if items:
-                    hits[r] = _covered(np.array([s["a"] for s in found]), np.array([s["b"] for s in found]), int(w.counts[r])).sum()
-                    pairs.append((r, items))
+            found = rows.column("spans")
+            for r in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                start, m = (found[r].values.field(x).to_numpy().astype(np.int64) for x in ("start", "m"))
+                hits[r] = _covered(start, start + m, int(w.counts[r])).sum()
+                pairs.append((r, rows.column("items")[r].as_py()))
             made = _settled(rows.column("doc_id"), w.counts.astype(np.int64), hits, pairs, min_items)
             yield made.append_column("key", rows.column("k")).append_column("key2", rows.column("k2")) if key else made
 
