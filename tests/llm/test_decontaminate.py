@@ -43,9 +43,11 @@ def case(make):
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [D.MAX_INDEX_BYTES, 0])
-def test_against_brute_force(spark, case, limit):
+@pytest.mark.parametrize("limit", [D.MAX_INDEX_BYTES, 0, 1])
+def test_against_brute_force(spark, case, limit, monkeypatch):
     docs, items = case
+    if limit == 1:  # a filter that lets nearly everything through
+        monkeypatch.setattr(D, "FILTER_BITS", 64)
     d = spark.createDataFrame([(i, t, 1, "q") for i, t in docs], "doc_id long, text string, n_hit int, k string").repartition(3)
     b = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     got = sorted((tuple(r) for r in D.decontaminate(d, b, max_index_bytes=limit).select(COLUMNS).collect()), key=str)

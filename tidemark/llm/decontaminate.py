@@ -37,6 +37,8 @@ WINDOW = SPAN - K + 1
 REACH = SPAN - K
 #: Above this the benchmark isn't sent to every task.
 MAX_INDEX_BYTES = 64 << 20
+#: Bits, at most, of the filter of fingerprints that is sent instead; what it lets through wrongly the join takes out.
+FILTER_BITS = 1 << 28
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 _DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -196,9 +198,9 @@ def reject(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 1, max_ind
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if 16 * size > max_index_bytes:
-        clean = _by_join(docs.select(F.col("doc_id").cast("long"), "text"), items, min_items, key=True).where("not contaminated").select(F.col("key").alias("_key"), F.col("key2").alias("_key2")).distinct()
         k, k2 = _keys(F.col("doc_id").cast("long"))
-        return docs.withColumns({"_key": k, "_key2": k2}).join(clean, ["_key", "_key2"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        hit = _spans(docs.select(k.alias("k"), k2.alias("k2"), "text"), items).where(F.size("items") >= min_items).select(F.col("k").alias("_key"), F.col("k2").alias("_key2"))
+        return docs.withColumns({"_key": k, "_key2": k2}).join(hit, ["_key", "_key2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(index([tuple(r) for r in items.collect()]))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -220,9 +222,36 @@ def _keys(doc_id: Column) -> tuple[Column, Column]:
 _RUNS = "id long, k2 long, key long, m int, runs array<struct<start int, window long>>"
 
 
-def _fingerprints(batch: pa.RecordBatch, short: list[int] | None) -> Iterator[pa.RecordBatch]:
+def _bits(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a filter of ``size`` bits, a power of two, that a key sets."""
+    h = T.mix(key.view(np.uint64))
+    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the keys: bytes, and the number of bits, which is at most FILTER_BITS however many keys there are."""
+    n = keys.count()
+    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+
+    def set_(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = np.concatenate(_bits(batch.column("key").to_numpy(), size))
+        yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "mask": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
+
+    words = map_arrow(keys.select("key"), set_, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out.view(np.uint64), size
+
+
+def _passes(key: np.ndarray, found: tuple[np.ndarray, int]) -> np.ndarray:
+    has = lambda at: (found[0][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    a, b = _bits(key, found[1])
+    return has(a) & has(b)
+
+
+def _fingerprints(batch: pa.RecordBatch, short: list[int] | None, known: tuple[np.ndarray, int] | None = None) -> Iterator[pa.RecordBatch]:
     """The k-grams that winnowing selects, and of the windows that selected each the place and hash. A span of m words, for
-    the lengths in ``short``, is its own fingerprint; None: of texts of fewer words than SPAN the whole."""
+    the lengths in ``short``, is its own fingerprint; None: of texts of fewer words than SPAN the whole. known: a filter of keys."""
     for c in T.chunks(batch.column("text")):
         w = T.words(c)
         n, row = len(w.hash), w.row()
@@ -240,6 +269,9 @@ def _fingerprints(batch: pa.RecordBatch, short: list[int] | None) -> Iterator[pa
             found.append((p, own, p, T.mix(own), m))
         ids = [batch.column(x).slice(c.low, c.high - c.low) for x in ("k", "k2")]
         for best, key, at, window, m in found:
+            if known is not None and len(at):
+                use = _passes(key[best], known)
+                best, at = best[use], at[use]
             if not len(at):
                 continue
             order = np.argsort(best, kind="stable")
@@ -250,28 +282,36 @@ def _fingerprints(batch: pa.RecordBatch, short: list[int] | None) -> Iterator[pa
             yield pa.RecordBatch.from_pydict({"id": ids[0].take(pa.array(r)), "k2": ids[1].take(pa.array(r)), "key": pa.array(key[best[cuts]].view(np.int64)), "m": pa.array(np.full(len(r), m, np.int32)), "runs": pa.ListArray.from_arrays(pa.array(np.append(cuts, len(at)).astype(np.int32)), runs)})
 
 
-def _by_join(docs: DataFrame, items: DataFrame, min_items: int, key: bool = False) -> DataFrame:
-    """As decontaminate, with fingerprints joined in a shuffle. Copies of a row are settled once. key: with _keys of each row.
+def _spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(k, k2, items, spans) of the documents (k, k2, text) in which windows of items occur.
 
-    First the documents' fingerprints meet those of the benchmark, each as often as it comes, then the windows around those
+    A filter of the benchmark's fingerprints, of bounded size, goes to all tasks, and the documents' fingerprints that pass
+    it meet the benchmark's, each as often as it comes; then the windows around those
     that are left meet the benchmark's windows, whose items are one row. So a k-gram that is common on both sides
     multiplies nothing, and fingerprints and windows of very many documents stay where they are.
     """
-    k, k2 = _keys(F.col("doc_id"))
-    docs = docs.withColumns({"k": k, "k2": k2})
     marked = items.where("item_id is not null and text is not null").select(F.col("item_id").alias("k"), F.lit(0).cast("long").alias("k2"), "text")
     tests = map_arrow(marked, lambda b: _fingerprints(b, None), _RUNS).select("id", "key", "m", F.explode("runs").alias("r"))
     tests = cut(tests.groupBy("key", "m", F.col("r.window").alias("window")).agg(F.collect_set("id").alias("items")))
+    keys = tests.select("key", "m").distinct()
     short = sorted(r["m"] for r in tests.select("m").distinct().collect() if r["m"] < SPAN)  # at most SPAN - 1 numbers
-    once = docs.dropDuplicates(["k", "k2"])
-    places = cut(map_arrow(once, lambda b: _fingerprints(b, short), _RUNS))
-    seen = cut(places.groupBy("key", "m").agg(F.count(F.lit(1)).alias("n")).join(tests.select("key", "m").distinct(), ["key", "m"]))
+    known = docs.sparkSession.sparkContext.broadcast(_filter(keys))
+    places = cut(map_arrow(docs, lambda b: _fingerprints(b, short, known.value), _RUNS))
+    seen = cut(places.groupBy("key", "m").agg(F.count(F.lit(1)).alias("n")).join(keys, ["key", "m"]))
     met = hot_join(places, seen, ["key", "m"], "n").select("id", "k2", "key", "m", F.explode("runs").alias("r"))
     met = cut(met.select("id", "k2", "key", "m", "r.start", "r.window"))
     names = ["key", "m", "window"]
     alike = cut(met.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(tests, names))
     hits = hot_join(met, alike, names, "n").select(F.col("id").alias("k"), "k2", "start", "m", "items")
-    spans = hits.groupBy("k", "k2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("start", "m")).alias("spans"))
+    # copies of a row find the same
+    return hits.groupBy("k", "k2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("start", "m")).alias("spans"))
+
+
+def _by_join(docs: DataFrame, items: DataFrame, min_items: int) -> DataFrame:
+    """As decontaminate, with fingerprints joined in a shuffle."""
+    k, k2 = _keys(F.col("doc_id"))
+    docs = docs.withColumns({"k": k, "k2": k2})
+    spans = _spans(docs.select("k", "k2", "text"), items)
 
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batch.column("text")):
@@ -283,7 +323,6 @@ def _by_join(docs: DataFrame, items: DataFrame, min_items: int, key: bool = Fals
                 start, m = (found[r].values.field(x).to_numpy().astype(np.int64) for x in ("start", "m"))
                 hits[r] = _covered(start, start + m, int(w.counts[r])).sum()
                 pairs.append((r, rows.column("items")[r].as_py()))
-            made = _settled(rows.column("doc_id"), w.counts.astype(np.int64), hits, pairs, min_items)
-            yield made.append_column("key", rows.column("k")).append_column("key2", rows.column("k2")) if key else made
+            yield _settled(rows.column("doc_id"), w.counts.astype(np.int64), hits, pairs, min_items)
 
-    return map_arrow(docs.join(spans, ["k", "k2"], "left"), settle, _DDL + ", key long, key2 long" * key)
+    return map_arrow(docs.join(spans, ["k", "k2"], "left"), settle, _DDL)
