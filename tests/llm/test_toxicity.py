@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import zlib
 
@@ -101,3 +102,23 @@ def test_rejection_keeps_columns(spark, model):
     docs = spark.createDataFrame([(1, "you dimwit", "x", 2.5), (2, "a river", None, None), (None, None, "y", 1.0), (2, "a river", None, None)], "doc_id int, text string, score string, row double")
     kept = X.reject(docs, model)
     assert kept.schema == docs.schema and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "2", "None"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_rows_of_a_table(spark):
+    """Some labels there have no word to tell them by; the bounds leave room for them."""
+    from tidemark.llm.queries import op9_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    rows = op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}), "doc_id").collect()
+    held = [(r.predicted, r["max(toxic)"]) for r in rows if r.held_out]
+    toxic, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert len(toxic) > 50 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_no_bound_on_the_words_of_a_text(model, make):
+    """All words of a text count, also beyond any length that examples have."""
+    sizes = [model.rows(c)[0, -1] for n in (5_000, 20_000) for c in T.chunks(pa.array([make(1, n)]))]
+    assert sizes[0] == pytest.approx(np.log1p(5_000)) and sizes[1] == pytest.approx(np.log1p(20_000))
+    harmless = make(2, 20_000)
+    assert (scores(model, [harmless]) < 0.5).all()

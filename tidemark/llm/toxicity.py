@@ -19,8 +19,9 @@ a letter or two put in or one left out. Near copies count once. A logistic curve
 f, the number of high words and the number of words turns scores to probabilities.
 
 The fit takes MAX_TRAIN labelled documents of each class at most (those with the least hash of
-doc_id, and of them those of up to MAX_TRAIN_BYTES; documented bounds). Every document is scored,
-over its whole text.
+doc_id, and of them those of up to MAX_TRAIN_BYTES), one of each group of near copies of a class, and from them in each round
+MAX_WORDS words of each class at most, of fewer than MAX_WORD_BYTES bytes: documented bounds of the fit alone. Every document is scored,
+over its whole text and all its words, however long both are.
 
 Defined results: null and empty texts have no word and score as a text of harmless words does;
 with no labelled rows of both classes every score is 0.0; rows without doc_id are scored too;
@@ -46,10 +47,10 @@ ORDER, SPAN, DECAY, SYMBOLS = 3, 6, 0.7, 64
 MAX_TRAIN, LANDMARKS, ROUNDS = 2500, 192, 5
 #: Longer texts don't serve as examples, so that the examples fit the driver; they are scored like all others.
 MAX_TRAIN_BYTES = 1 << 15
-#: f from which a word is one that the machine is sure of, and the number of words from which a text is just long.
-STRONG, MAX_LENGTH = 0.7, 5000
-#: Words of each class in a round's machine; a sample of more.
-MAX_WORDS = 4000
+#: f from which a word is one that the machine is sure of.
+STRONG = 0.7
+#: Words of each class in a round's machine, a sample of more; bytes of words that serve as examples.
+MAX_WORDS, MAX_WORD_BYTES = 4000, 200
 CHUNK = 1 << 19
 
 _FOLD = np.zeros(256, np.int32)  # 0: no letter
@@ -139,8 +140,7 @@ class Model:
         best = np.full(n, -2.0)
         np.maximum.at(best, row, np.clip(f, -2, 1.2))
         count = lambda which: np.log1p(np.bincount(row[which], minlength=n))
-        words = np.minimum(np.bincount(row, minlength=n), MAX_LENGTH)
-        return np.stack([np.ones(n), best, count(f > 0), count(f > STRONG), np.log1p(words)], 1)
+        return np.stack([np.ones(n), best, count(f > 0), count(f > STRONG), np.log1p(np.bincount(row, minlength=n))], 1)
 
     def scores(self, chunk: T.Chunk) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.rows(chunk) @ self.curve, -30, 30)))
@@ -236,7 +236,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Model:
     share = (seen[1] + 0.5) / (toxic.sum() + 1) / ((seen[0] + 0.5) / ((~toxic).sum() + 1))
     telling = np.flatnonzero((share > 20) & (seen[1] >= max(3, toxic.sum() / 100)))
     sure = word[bad & np.isin(word, telling)]
-    usable = np.array([0 < len(x) < 200 for x in strings], bool)
+    usable = np.array([0 < len(x) < MAX_WORD_BYTES for x in strings], bool)
     rng = np.random.default_rng(seed)
     for step in range(ROUNDS):
         f = _scored(letters, first, table) + bias
