@@ -26,6 +26,17 @@ def test_against_every_window(spark, docs):
     assert {("105", "MIT"), ("107", "MIT"), ("108", "MIT"), ("103", "MIT")} <= by and not {g for g in by if g[0] in ("100", "101", "102", "104", "109")}
 
 
+def test_notices_that_share_words(spark, make):
+    """Each notice alone is that of its license and of no other; two in one document are both told."""
+    rows = [(i, f"{make(i, 30)}. {x} {make(i + 70, 30)}") for i, (_, x) in enumerate(L.TEMPLATES)]
+    by = dict(L.TEMPLATES[::-1])
+    rows += [(100, f"{by['LGPL-3.0']} {make(5, 400)} {by['GPL-3.0']}")]
+    got = {}
+    for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {k} for i, (k, _) in enumerate(L.TEMPLATES)} | {100: {"LGPL-3.0", "GPL-3.0"}}
+
+
 def test_no_rows_and_own_templates(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "do what you want with this text please")], "doc_id long, text string")

@@ -12,8 +12,15 @@ left out. The templates are a fixed list, so what each task receives does not gr
 and rows are shuffled only after verification.
 
 Result: one row per document and license: doc_id, license, containment (the highest), start_word
-(of the first window that reaches it). Defined results: null and empty texts, and texts of fewer than five
-words, match nothing; repeated rows of one doc_id count as one; other columns are ignored.
+(of the first window that reaches it). Many notices share most of their words, so of licenses whose windows overlap in a
+document only the one with the highest containment is given, or of equal ones that with the longest template.
+
+Covered are those of TEMPLATES: MIT, Apache-2.0, GPL-2.0 and 3.0, LGPL-2.1 and 3.0, AGPL-3.0, BSD-2-Clause and 3-Clause, ISC,
+MPL-2.0, EPL-2.0, Unlicense, CC0-1.0, CC-BY, CC-BY-SA and CC-BY-NC 4.0; others are a parameter.
+
+Defined results: null and empty texts, and texts of fewer than five
+words, match nothing; repeated rows of one doc_id count as one; a very long text is one row's array of shingles, 8 bytes a
+word; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +41,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -95,9 +112,14 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = TEMPLATES, *, containme
     banded = seen.select("*", F.posexplode_outer(bands_of(F.col("window"))).alias("band", "least"))
     met = banded.join(F.broadcast(known_bands), ["s", "band", "least"]).join(F.broadcast(known_sets), "template")
     share = F.size(F.array_intersect("window", "shingles")) / F.col("s")
-    sure = met.select("doc_id", "license", "start", share.alias("share")).where(F.col("share") >= containment)
-    best = F.min(F.struct((-F.col("share")).alias("share"), "start"))
-    return sure.groupBy("doc_id", "license").agg(best.alias("best")).select("doc_id", "license", (-F.col("best.share")).alias("containment"), F.col("best.start").cast("long").alias("start_word"))
+    sure = met.select("doc_id", "license", "start", "s", share.alias("share")).where(F.col("share") >= containment)
+    best = sure.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("share")).alias("less"), (-F.col("s")).alias("size"), "start", "s", "license")).alias("best"))
+    # a document has at most one for each license of the list
+    best = best.groupBy("doc_id").agg(F.collect_list("best").alias("all"))
+    end = lambda x: x["start"] + x["s"] + F.greatest(F.lit(1), F.floor(x["s"] / 2))
+    better = lambda y, x: (y["start"] < end(x)) & (x["start"] < end(y)) & ((y["less"] < x["less"]) | (y["less"] == x["less"]) & (y["s"] > x["s"]))
+    kept = best.select("doc_id", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: better(y, x)))).alias("best"))
+    return kept.select("doc_id", "best.license", (-F.col("best.less")).alias("containment"), F.col("best.start").cast("long").alias("start_word"))
 
 
 def oracle(known: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> str:
@@ -112,5 +134,8 @@ x AS (SELECT DISTINCT len(g) AS s, greatest(1, len(g) // 2) AS p FROM t),
 own AS (SELECT DISTINCT unnest(g) AS h FROM t),
 near AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(r) AS h FROM d) JOIN own USING (h)),
 win AS (SELECT doc_id, s, k * p AS start, r[k * p + 1 : k * p + s + p] AS win FROM (SELECT doc_id, r, s, p, unnest(range(0, (len(r) - 1) // p + 1)) AS k FROM d JOIN near USING (doc_id), x)),
-m AS (SELECT doc_id, license, start, len(list_intersect(list_distinct(win), g)) / CAST(s AS DOUBLE) AS share FROM win JOIN t ON len(t.g) = win.s)
-SELECT doc_id, license, max(share) AS containment, CAST(arg_min(start, (-share, start)) AS BIGINT) AS start_word FROM m WHERE share >= {containment} GROUP BY 1, 2"""
+m AS (SELECT doc_id, license, start, s, len(list_intersect(list_distinct(win), g)) / CAST(s AS DOUBLE) AS share FROM win JOIN t ON len(t.g) = win.s),
+b AS (SELECT doc_id, license, max(share) AS share, arg_min(start, (-share, -s, start)) AS start, arg_min(s, (-share, -s, start)) AS s FROM m WHERE share >= {containment} GROUP BY 1, 2),
+e AS (SELECT *, start + s + greatest(1, s // 2) AS stop FROM b)
+SELECT doc_id, license, share AS containment, CAST(start AS BIGINT) AS start_word FROM e AS x
+WHERE NOT EXISTS (SELECT 1 FROM e AS y WHERE y.doc_id = x.doc_id AND y.start < x.stop AND x.start < y.stop AND (y.share > x.share OR y.share = x.share AND y.s > x.s))"""
