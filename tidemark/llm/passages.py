@@ -17,7 +17,8 @@ opening span. Documents without a repeated span of LENGTH words have no row.
 
 Defined results: null, empty and short texts have no row; rows with a null doc_id are left out;
 rows of one doc_id and the same text are copies of each other; rows of one doc_id with different
-texts are compared like other documents; other columns are ignored.
+texts are compared like other documents; very long texts are expanded alone, in memory of some times their size; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,16 +203,25 @@ _SPAN = "text_hash long, a int, b int, first_doc_id long, last_doc_id long, n lo
 
 def _merge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Overlapping spans of one document added up."""
-    out = []
-    for text, found in zip(batch.column("text_hash").to_pylist(), batch.column("found").to_pylist(), strict=True):
-        now = None
-        for x in sorted(found, key=lambda x: (x["a"], x["b"])):
-            if now and x["a"] <= now[2]:
-                now[2], now[3], now[4], now[5] = max(now[2], x["b"]), min(now[3], x["first_doc_id"]), max(now[4], x["last_doc_id"]), max(now[5], x["n"])
-            else:
-                now = [text, x["a"], x["b"], x["first_doc_id"], x["last_doc_id"], x["n"], x["leads"]]
-                out.append(now)
-    yield pa.RecordBatch.from_pydict(dict(zip(("text_hash", "a", "b", "first_doc_id", "last_doc_id", "n", "leads"), (pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)), strict=True)))
+    found = batch.column("found")
+    flat = found.flatten()
+    a, b, low, high, n, leads = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "first_doc_id", "last_doc_id", "n", "leads"))
+    owner = np.repeat(np.arange(len(found)), pa.compute.list_value_length(found).to_numpy())
+    order = np.lexsort((b, a, owner))
+    a, b, low, high, n, leads, owner = (x[order] for x in (a.astype(np.int64), b.astype(np.int64), low, high, n, leads, owner))
+    # how far the spans before reach: rows are kept apart by more than any place
+    apart = owner * (int(b.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(apart + b)
+    head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (apart[1:] + a[1:] > reach[:-1])])[: len(a)]
+    at = np.flatnonzero(head)
+    if not len(at):
+        return
+    last = np.append(at[1:], len(a)) - 1
+    columns = {
+        "text_hash": batch.column("text_hash").take(pa.array(owner[at])), "a": pa.array(a[at].astype(np.int32)), "b": pa.array((reach[last] - apart[last]).astype(np.int32)),
+        "first_doc_id": pa.array(np.minimum.reduceat(low, at)), "last_doc_id": pa.array(np.maximum.reduceat(high, at)), "n": pa.array(np.maximum.reduceat(n, at)), "leads": pa.array(leads[at].astype(bool)),
+    }
+    yield pa.RecordBatch.from_pydict(columns)
 
 
 def repeated_passages(docs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
