@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, lines, packing, toxicity
 from tidemark.llm.frames import cut, load, remove, shared_folder
 
+#: Repeated ids, of 8 bytes, that are sent to all tasks; more are joined in a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels table, scores at 0.5 or more go.
@@ -39,11 +42,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = jaccard.jaccard_join(docs).where("doc_id is not null")
     seen = cut(found.groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("rows")))
-    repeated = seen.where("stays and rows > 1").select("doc_id")
-    kept = docs.join(seen.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # no id meets a null one, so rows without an id are among the first
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    once = docs.join(seen.where("not stays or rows > 1").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = seen.where("stays and rows > 1").select("doc_id")
+    repeated = F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST_IDS else repeated
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
